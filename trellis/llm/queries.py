@@ -21,8 +21,22 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.llm import packing
+
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+def op10_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.llm import eliasfano
+
+    return eliasfano.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_mixture_packing": op3_mixture_packing,
+    "op10_elias_fano": op10_elias_fano,
 }
 
 ORACLE_SQL: dict[str, str] = {}
