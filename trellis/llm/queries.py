@@ -27,6 +27,24 @@ def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op5_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.llm import ann
+
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op8_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.llm import pq
+
+    return pq.links(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.llm import warc
+
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op10_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trellis.llm import eliasfano
 
@@ -36,7 +54,20 @@ def op10_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_mixture_packing": op3_mixture_packing,
+    "op5_collision_counting": op5_collision_counting,
+    "op8_product_quantisation": op8_product_quantisation,
+    "op9_warc_segments": op9_warc_segments,
     "op10_elias_fano": op10_elias_fano,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc_segments": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS digest FROM pages),
+        q AS (SELECT page_id, octet_length(payload) AS payload_bytes, digest,
+                     max(page_id) OVER (PARTITION BY digest) AS last FROM p)
+        SELECT page_id, payload_bytes, digest AS payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+        FROM q
+    """,
+}
