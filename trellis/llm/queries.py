@@ -21,6 +21,31 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Key of the registered query's pseudonyms; a deployment passes its own secret.
+PII_KEY = "trellis-demonstration-key"
+
+
+def op2_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.llm import pii
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY, count_col="n_replaced")
+
+
+def op4_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.llm import toxicity
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    chain = toxicity.train(docs, labels, {k: make() for k, make in toxicity.CHAIN.items()})
+    return toxicity.score(docs, chain)
+
+
+def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.llm import licenses
+
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trellis.llm import packing
 
@@ -53,8 +78,11 @@ def op10_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_feistel_pii": op2_feistel_pii,
     "op3_mixture_packing": op3_mixture_packing,
+    "op4_classifier_chain": op4_classifier_chain,
     "op5_collision_counting": op5_collision_counting,
+    "op6_license_rules": op6_license_rules,
     "op8_product_quantisation": op8_product_quantisation,
     "op9_warc_segments": op9_warc_segments,
     "op10_elias_fano": op10_elias_fano,
