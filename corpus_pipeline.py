@@ -2,10 +2,43 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from trellis.llm import bagminhash, packing, pii, toxicity
+from trellis.llm.queries import PII_KEY
 
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain doesn't reject (operator 4)."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    chain = toxicity.train(docs, labels, {name: make() for name, make in toxicity.CHAIN.items()})
+    return toxicity.keep_clean(docs, chain)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, that with the smallest doc_id (operator 7)."""
+    return bagminhash.keep_one(docs)
+
+
+def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pseudonyms in place of personal data; lengths stay (operator 2)."""
+    return pii.pseudonymise(docs, PII_KEY)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences at the sources' token shares (operator 3)."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("pii", pseudonymise),
+    ("packing", pack),
+]
+
+#: The chain, the signatures and the tokenizer are no SQL; the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 

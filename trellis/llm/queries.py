@@ -58,6 +58,12 @@ def op5_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op7_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.llm import bagminhash
+
+    return bagminhash.classes(_table(spark, sf_dir, "documents"))
+
+
 def op8_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trellis.llm import pq
 
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_classifier_chain": op4_classifier_chain,
     "op5_collision_counting": op5_collision_counting,
     "op6_license_rules": op6_license_rules,
+    "op7_bagminhash": op7_bagminhash,
     "op8_product_quantisation": op8_product_quantisation,
     "op9_warc_segments": op9_warc_segments,
     "op10_elias_fano": op10_elias_fano,
