@@ -40,8 +40,11 @@ from trellis.llm.vectors import matrix, usable
 SAMPLE = 20_000
 SUBSPACES, CODEWORDS = 8, 64
 BLOCK = 4096
+#: Pairs of a list whose distances are held at once.
+PAIRS = 1 << 21
 MAX_LISTS = 4096
-SLACK = 1e-9
+#: Over the rounding of single-precision table sums.
+SLACK = 1e-5
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 6, seed: int = 3) -> np.ndarray:
@@ -89,7 +92,7 @@ class Codebook:
     def probes(self, x: np.ndarray, of: np.ndarray, lists: np.ndarray, reach: float) -> np.ndarray:
         """Whether each vector probes each of the lists."""
         own = (x * self.centroids[of]).sum(1)
-        plane = (own[:, None] - x @ self.centroids[lists].T) / self.apart[of][:, lists]
+        plane = (own[:, None] - x @ self.centroids[lists].T) / self.apart[np.ix_(of, lists)]
         return (plane <= reach + SLACK) | (of[:, None] == lists[None, :])
 
     def tables(self, x: np.ndarray) -> list[np.ndarray]:
@@ -119,24 +122,22 @@ def links_of_block(book: Codebook, threshold: float, data: dict, queries: dict)
     """Link counts of the data and of the queries in this pair of blocks, and pairs (query, data) of positions."""
     reach = np.sqrt(max(0.0, 2 - 2 * threshold)) / 2
     y, x = _unit(data["x"]), _unit(queries["x"])
-    y_of, x_of = book.assign(y), book.assign(x)
+    y_of, x_of = data["of"], queries["of"]
     codes, missed = book.encode(y, y_of)
     pairs = []
     lists = np.unique(y_of)
-    for a in range(0, len(x), 512):
-        part = slice(a, a + 512)
-        probed = book.probes(x[part], x_of[part], lists, reach)
-        tables = book.tables(x[part])
-        coarse = x[part] @ book.centroids[lists].T
-        for k, c in enumerate(lists):
-            here, there = np.flatnonzero(probed[:, k]), np.flatnonzero(y_of == c)
-            if not len(here):
-                continue
-            near = coarse[here, k][:, None] + missed[there][None, :]
+    tables = [t.astype(np.float32) for t in book.tables(x)]
+    probed, coarse = book.probes(x, x_of, lists, reach), (x @ book.centroids[lists].T).astype(np.float32)
+    for k, c in enumerate(lists):
+        there, asking = np.flatnonzero(y_of == c), np.flatnonzero(probed[:, k])
+        some = max(1, PAIRS // len(there))
+        for a in range(0, len(asking), some):
+            here = asking[a : a + some]
+            near = coarse[here, k][:, None] + missed[there].astype(np.float32)[None, :]
             for m, table in enumerate(tables):
-                near += table[np.ix_(here, codes[there, m])]
+                near += np.take(table[here], codes[there, m], axis=1)
             q, d = np.nonzero(near >= threshold - SLACK)
-            q, d = here[q] + a, there[d]
+            q, d = here[q], there[d]
             if not len(q):
                 continue
             rid_q, rid_d = queries["rid"][q], data["rid"][d]
@@ -192,7 +193,7 @@ def links(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", ve
 
 def _links_of_width(spark, rows: DataFrame, n: int, width: int, threshold: float) -> DataFrame:
     sample = rows.orderBy(F.xxhash64("rid")).limit(SAMPLE).select("x").toArrow()
-    lists, groups = min(MAX_LISTS, max(1, n // 24)), max(1, n // BLOCK)
+    lists, groups = min(MAX_LISTS, max(1, n // 24)), max(1, -(-4 * n // (3 * BLOCK)))
     book = spark.sparkContext.broadcast(Codebook(_unit(matrix(sample["x"], width)), lists, min(groups, 256)))
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)) / 2)
 
@@ -209,11 +210,11 @@ def _links_of_width(spark, rows: DataFrame, n: int, width: int, threshold: float
                 asks[:, g] = probed[:, b.group == g].any(1)
             targets = [np.flatnonzero(a) for a in asks]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(b.group[of], pa.int32()), pa.array(targets, pa.list_(pa.int32()))],
-                ["rid", "x", "home", "asks"],
+                [batch.column(0), batch.column(1), pa.array(of, pa.int32()), pa.array(b.group[of], pa.int32()), pa.array(targets, pa.list_(pa.int32()))],
+                ["rid", "x", "of", "home", "asks"],
             )
 
-    placed = stage(rows.select("rid", "x").mapInArrow(place, "rid long, x array<double>, home int, asks array<int>"), "placed")
+    placed = stage(rows.select("rid", "x").mapInArrow(place, "rid long, x array<double>, of int, home int, asks array<int>"), "placed")
     # blocks of each group: a row for each group
     homes = placed.groupBy(F.col("home").alias("g")).agg(F.count(F.lit(1)).alias("n"))
     asked = placed.select(F.explode("asks").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("m"))
@@ -221,16 +222,16 @@ def _links_of_width(spark, rows: DataFrame, n: int, width: int, threshold: float
     blocks = F.create_map(*[F.lit(v) for g, s in sizes.items() for v in (g, F.struct(F.lit(s[0]).alias("d"), F.lit(s[1]).alias("q")))])
     dealt = lambda salt, many: F.pmod(F.xxhash64("rid", F.lit(salt)), many).cast("int")
     upto = lambda many: F.explode(F.sequence(F.lit(0), many - 1))
-    data = placed.select(F.col("home").alias("g"), "rid", "x").withColumn("s", blocks[F.col("g")])
-    data = data.select("g", dealt(1, F.col("s.d")).alias("i"), upto(F.col("s.q")).alias("j"), "rid", "x")
-    asks = placed.select(F.explode("asks").alias("g"), "rid", "x").withColumn("s", blocks[F.col("g")]).where("s is not null")
-    asks = asks.select("g", upto(F.col("s.d")).alias("i"), dealt(2, F.col("s.q")).alias("j"), "rid", "x")
+    data = placed.select(F.col("home").alias("g"), "rid", "x", "of").withColumn("s", blocks[F.col("g")])
+    data = data.select("g", dealt(1, F.col("s.d")).alias("i"), upto(F.col("s.q")).alias("j"), "rid", "x", "of")
+    asks = placed.select(F.explode("asks").alias("g"), "rid", "x", "of").withColumn("s", blocks[F.col("g")]).where("s is not null")
+    asks = asks.select("g", upto(F.col("s.d")).alias("i"), dealt(2, F.col("s.q")).alias("j"), "rid", "x", "of")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             return schema.empty_table()
-        one, two = ({"rid": t["rid"].to_numpy(), "x": matrix(t["x"], width)} for t in (left, right))
+        one, two = ({"rid": t["rid"].to_numpy(), "x": matrix(t["x"], width), "of": t["of"].to_numpy()} for t in (left, right))
         n_data, n_asks, (q, d) = links_of_block(book.value, threshold, one, two)
         rids, back = np.unique(np.concatenate([one["rid"], two["rid"]]), return_inverse=True)
         node, root = _forest(back[len(one["rid"]) :][q], back[: len(one["rid"])][d], len(rids))
