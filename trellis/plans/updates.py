@@ -243,7 +243,8 @@ class Updates:
         else:
             missing = base.df if hit.isEmpty() else base.df.limit(0)
         # values that the pattern reads decide which created rows are the same
-        made = self._create_path(pattern, self._once(pattern, Frame(missing, base.symbols)))
+        missing, unique, same = self._once(pattern, Frame(missing, base.symbols))
+        made = self._create_path(pattern, Frame(unique, base.symbols))
         new = [n for n in made.symbols if n not in frame.symbols and not (n not in matched.symbols)]
         columns = list(dict.fromkeys(c for n in new for c in matched.symbols[n].columns()))
         pairs = {}
@@ -256,7 +257,10 @@ class Updates:
             if a.source:
                 pairs |= {a.source: quoted(b.source), a.target: quoted(b.target)}
         left = hit.select(*[quoted(k) for k in keys], *[quoted(c) for c in columns], F.lit(False).alias(flag))
-        right = made.df.select(*[quoted(k) for k in keys], *[pairs[c].alias(c) for c in columns], F.lit(True).alias(flag))
+        others = {c: self.c.fresh("k") for c in same}
+        created = made.df.select(*[quoted(c).alias(n) for c, n in others.items()], *[pairs[c].alias(c) for c in columns])
+        on = [quoted(c).eqNullSafe(quoted(n)) for c, n in others.items()]
+        right = missing.join(created, on or F.lit(True)).select(*[quoted(k) for k in keys], *[quoted(c) for c in columns], F.lit(True).alias(flag))
         both = _cut(left.unionByName(right))
         renamed = {k: self.c.fresh("k") for k in keys}
         both = both.withColumnsRenamed(renamed)
@@ -273,20 +277,17 @@ class Updates:
             out = self._assign(clause.on_match, out, negated)
         return out
 
-    def _once(self, pattern: A.PathPattern, frame: Frame) -> Frame:
-        """One row for each combination of property values that would be created."""
+    def _once(self, pattern: A.PathPattern, frame: Frame) -> tuple[DataFrame, DataFrame, list[str]]:
+        """The rows, one row for each thing that would be created, and the columns that tell these apart."""
         values = []
         for p in (*pattern.nodes, *pattern.rels):
             if isinstance(p.properties, A.MapLiteral):
-                values += [v for _, v in p.properties.entries]
-        reading = [v for v in values if not isinstance(v, (A.Literal, A.Parameter))]
-        nodes = [quoted(frame.symbols[n.name].column) for n in pattern.nodes if n.name in frame.symbols]
-        if not reading and not nodes or not frame.symbols:
-            return frame
+                values += [v for _, v in p.properties.entries if not isinstance(v, (A.Literal, A.Parameter))]
         compile_ = self.c.expressions(frame)
-        keys = {self.c.fresh("once"): compile_(v).col for v in reading}
+        keys = {self.c.fresh("once"): compile_(v).col for v in values}
         df = frame.df.select("*", *[c.alias(k) for k, c in keys.items()])
-        return frame.with_df(df.dropDuplicates([*keys, *[frame.symbols[n.name].column for n in pattern.nodes if n.name in frame.symbols]]).drop(*keys))
+        same = [*keys, *dict.fromkeys(frame.symbols[n.name].column for n in pattern.nodes if n.name in frame.symbols)]
+        return df, df.dropDuplicates(same) if same else df, same
 
     # FOREACH
 
