@@ -36,6 +36,7 @@ class Compiler:
         self.spark, self.graph, self.parameters, self.udfs, self.procedures = spark, graph, parameters, udfs, procedures
         self.fresh_columns = 0
         self.used: set[str] | None = None
+        self.before: dict[str, Symbol] = {}
 
     def fresh(self, stem: str = "c") -> str:
         self.fresh_columns += 1
@@ -454,6 +455,7 @@ class Compiler:
             raise CypherSemanticError(f"two columns are named {next(n for n in names if names.count(n) > 1)!r}")
         aggregating = self._aggregates(frame, [i.value for i in items])
         build = self._grouped if any(aggregating) else self._plain
+        self.before = {} if any(aggregating) else frame.symbols
         out, hidden = build(clause, frame, items, names, aggregating)
         if clause.distinct:
             ids = [c for n in names for c in (out.symbols[n].column, out.symbols[n].label_column) if c is not None]
@@ -537,8 +539,12 @@ class Compiler:
             out, joined = self.prepare(out, *unprepared)
             compile_ = self.expressions(out, joined | known)
             sort = []
+            before = self.expressions(Frame(out.df, out.symbols | self.before), joined | known)
             for s in clause.order:
-                c = compile_(s.value).col
+                try:
+                    c = compile_(s.value).col
+                except CypherSemanticError:  # an alias may hide the variable that is meant
+                    c = before(s.value).col
                 nulls = s.nulls or "last"
                 sort.append(getattr(c, f"{'desc' if s.descending else 'asc'}_nulls_{nulls}")())
             out = out.with_df(out.df.orderBy(*sort))
