@@ -147,3 +147,91 @@ update("merge_nodes", ["MATCH (p:Part) WHERE p.p_size < 5 MERGE (s:Size {v: p.p_
 update("detach_delete", ["MATCH (n:Nation) WHERE n.n_regionkey = 0 DETACH DELETE n"], "MATCH (c:Customer)-[:LIVES_IN]->(n) RETURN count(*) AS c", "SELECT count(*) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 0")
 update("remove_property", ["MATCH (r:Region) WHERE r.r_regionkey < 2 REMOVE r.r_name"], "MATCH (r:Region) RETURN count(r.r_name) AS c", "SELECT count(*) AS c FROM region WHERE r_regionkey >= 2")
 update("foreach_updates", ["MATCH (r:Region) FOREACH (i IN range(1, 2) | CREATE (:Copy {of: r.r_name, i: i}))"], "MATCH (c:Copy) RETURN c.of AS n, c.i AS i", "SELECT r_name AS n, i FROM region, range(1, 3) t(i)")
+
+
+# streams, run over static tables; a streaming test drives the same functions
+@plain("window_tumbling", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS window_count FROM events GROUP BY 1, 2")
+def _tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.streaming import windows
+
+    out = windows.tumbling(spark.read.parquet(f"{sf_dir}/events.parquet"), "1 hour", ["event_type"], time_col="ts")
+    return out.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "window_count")
+
+
+@plain("window_sliding", "SELECT w.s AS window_start, count(*) AS window_count FROM events, LATERAL (SELECT time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR * i AS s FROM range(0, 2) r(i)) w GROUP BY 1")
+def _sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.streaming import windows
+
+    out = windows.sliding(spark.read.parquet(f"{sf_dir}/events.parquet"), "2 hours", "1 hour", time_col="ts")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "window_count")
+
+
+@plain("window_session", "SELECT user_id, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY 1, 2) GROUP BY 1")
+def _session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.streaming import windows
+
+    out = windows.session(spark.read.parquet(f"{sf_dir}/events.parquet"), "30 minutes", ["user_id"], time_col="ts")
+    return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("window_count").alias("rows"))
+
+
+@plain("stream_table_join", "SELECT event_id, c_name, c_custkey IS NOT NULL AS __table_match__ FROM events LEFT JOIN customer ON user_id = c_custkey")
+def _stream_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.streaming.joins import stream_table_join
+
+    events, customers = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "customer"))
+    out = stream_table_join(events.select("event_id", "user_id"), customers.select("c_custkey", "c_name"), "user_id", "c_custkey")
+    return out.select("event_id", "c_name", "__table_match__")
+
+
+@plain("latest_by_key", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
+def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.streaming.joins import latest
+
+    return latest(spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id"), "user_id", "event_id").select("user_id", "event_id")
+
+
+@plain("changelog", "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'UPDATE' WHEN o_orderkey % 3 = 1 THEN 'DELETE' END AS change_type, o_orderkey, o_custkey + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS o_custkey FROM orders WHERE o_orderkey % 3 <> 2")
+def _changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.streaming.views import changelog
+
+    before = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    after = before.where("o_orderkey % 3 <> 1").withColumn("o_custkey", F.expr("o_custkey + if(o_orderkey % 3 = 0, 1, 0)"))
+    return changelog(before, after, "o_orderkey")
+
+
+@plain("derived_edges", "SELECT c_custkey AS a, c_nationkey AS b FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+def _derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.operators.edges import by_column
+
+    customers, nations = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation"))
+    out = by_column(customers, "c_custkey", "c_nationkey", nations.where("n_regionkey = 1"), "n_nationkey")
+    return out.select(F.col("__SOURCE__").alias("a"), F.col("__TARGET__").alias("b"))
+
+
+@plain("frame_aggregate", "SELECT p_brand, sum(p_size) AS total, count(p_size) AS n, max(p_size) AS top FROM part GROUP BY 1")
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.operators import frames
+
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return frames.aggregate(part, ["p_brand"], {"total": ("p_size", "sum"), "n": ("p_size", "count"), "top": ("p_size", "max")})
+
+
+@plain("source_query", "SELECT p_brand, count(*) AS n FROM part WHERE p_size > 20 GROUP BY 1")
+def _source_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.sources.readers import source_from_uri
+
+    return source_from_uri(f"{sf_dir}/part.parquet", "SELECT p_brand, count(*) AS n FROM source WHERE p_size > 20 GROUP BY p_brand").read(spark)
+
+
+@plain("column_stats", "SELECT 'r_name' AS \"column\", count(*) AS rows, 0::BIGINT AS nulls, min(r_name) AS least, max(r_name) AS greatest FROM region")
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.sources.readers import column_stats
+
+    return column_stats(spark.read.parquet(f"{sf_dir}/region.parquet").select("r_name")).drop("distinct")
+
+
+@plain("conditional_pivot", "SELECT o_orderstatus AS s, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderpriority = '5-LOW') AS low FROM orders GROUP BY 1")
+def _pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph(spark, sf_dir).cypher(
+        "MATCH (o:Order) RETURN o.o_orderstatus AS s, sum(CASE WHEN o.o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS urgent, sum(CASE WHEN o.o_orderpriority = '5-LOW' THEN 1 ELSE 0 END) AS low"
+    )
