@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trellis.llm import bagminhash, packing, pii, toxicity
 from trellis.llm.queries import PII_KEY
@@ -22,8 +23,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pseudonyms in place of personal data; lengths stay (operator 2)."""
-    return pii.pseudonymise(docs, PII_KEY)
+    """Pseudonyms in place of personal data; n_chars follows the text (operator 2)."""
+    out = pii.pseudonymise(docs, PII_KEY)
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")) if "n_chars" in out.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
