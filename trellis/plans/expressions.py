@@ -442,6 +442,8 @@ class Expressions:
             if not of_list:
                 if not self.aggregating or self.local:
                     raise CypherSemanticError(f"the aggregate {e.name} can't be used here")
+                if any(has_aggregate(a) for a in e.args):
+                    raise CypherSemanticError(f"the argument of {e.name} holds an aggregate")
                 return aggregates.aggregate(name, args, e.distinct)
         return scalar.lookup(e.name, len(args))(*args)
 
