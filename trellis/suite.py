@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trellis.catalog import Graph
 from trellis.session import GraphSession
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,8 +15,22 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+_GRAPHS: dict[tuple[str, str], Graph] = {}
+
+
 def graph(spark: SparkSession, sf_dir: str) -> GraphSession:
-    """The tables as a property graph; ids are keys of their tables, so none is checked for repeats."""
+    """A session of its own over the tables as a property graph; the (immutable) graph is made once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _GRAPHS:
+        _GRAPHS.clear()
+        _GRAPHS[key] = _load(spark, sf_dir).graph
+    session = GraphSession(spark)
+    session.graph = _GRAPHS[key]
+    return session
+
+
+def _load(spark: SparkSession, sf_dir: str) -> GraphSession:
+    """Ids are keys of their tables, so none is checked for repeats."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     s = GraphSession(spark)
     keys = {"Region": ("region", "r_regionkey"), "Nation": ("nation", "n_nationkey"), "Customer": ("customer", "c_custkey"), "Supplier": ("supplier", "s_suppkey"), "Part": ("part", "p_partkey"), "Order": ("orders", "o_orderkey")}
