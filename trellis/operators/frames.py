@@ -91,4 +91,4 @@ def is_empty(df: DataFrame) -> bool:
 
 def memory_estimate_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the result's size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
