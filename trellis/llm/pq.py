@@ -126,6 +126,7 @@ def links_of_block(book: Codebook, threshold: float, data: dict, queries: dict)
     codes, missed = book.encode(y, y_of)
     pairs = []
     lists = np.unique(y_of)
+    xs, ys, missed = x.astype(np.float32), y.astype(np.float32), missed.astype(np.float32)
     tables = [t.astype(np.float32) for t in book.tables(x)]
     probed, coarse = book.probes(x, x_of, lists, reach), (x @ book.centroids[lists].T).astype(np.float32)
     for k, c in enumerate(lists):
@@ -133,10 +134,14 @@ def links_of_block(book: Codebook, threshold: float, data: dict, queries: dict)
         some = max(1, PAIRS // len(there))
         for a in range(0, len(asking), some):
             here = asking[a : a + some]
-            near = coarse[here, k][:, None] + missed[there].astype(np.float32)[None, :]
+            near = coarse[here, k][:, None] + missed[there][None, :]
             for m, table in enumerate(tables):
                 near += np.take(table[here], codes[there, m], axis=1)
-            q, d = np.nonzero(near >= threshold - SLACK)
+            may = near >= threshold - SLACK
+            if not may.any():
+                continue
+            may &= xs[here] @ ys[there].T >= threshold - SLACK  # single precision first
+            q, d = np.nonzero(may)
             q, d = here[q], there[d]
             if not len(q):
                 continue
