@@ -51,7 +51,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 6, seed: int = 3) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        nearest = np.concatenate([np.argmax(b @ centres.T - 0.5 * (centres**2).sum(1), axis=1) for b in np.array_split(x, -(-len(x) // 4096))])
+        nearest = np.concatenate([np.argmax(b @ centres.T - 0.5 * (centres**2).sum(1), axis=1) for b in np.array_split(x, -(-len(x) // 1024))])
         sums = np.zeros_like(centres)
         np.add.at(sums, nearest, x)
         counts = np.bincount(nearest, minlength=len(centres))
@@ -73,8 +73,12 @@ class Codebook:
         self.words = [kmeans(residual[:, a:b], min(CODEWORDS, len(x))) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
         heads = kmeans(self.centroids, min(groups, len(self.centroids)))
         self.group = np.argmax(self.centroids @ heads.T - 0.5 * (heads**2).sum(1), axis=1)
-        dots = self.centroids @ self.centroids.T
-        self.apart = np.sqrt(np.maximum(2 - 2 * dots, 1e-18))
+        apart = self.centroids @ self.centroids.T
+        apart *= -2
+        apart += 2
+        np.maximum(apart, 1e-18, out=apart)
+        np.sqrt(apart, out=apart)
+        self.apart = apart.astype(np.float32)
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         return np.argmax(x @ self.centroids.T, axis=1)
