@@ -164,6 +164,19 @@ def test_licences():
     assert name("it is not licensed under the MIT licensees") == [] and name("Permission granted") == []
 
 
+def test_licence_sentences_far_from_the_line_start():
+    known = licenses.Sentences()
+    for before in (" " * 20, "x\n" + " " * 16, "x\n * " + " " * 12, "//" + "=" * 20 + "\n//" + " " * 30, "x." + " " * 40, "\n" + "*" * 5000):
+        assert [f[0] for f in known.find(before + "MIT License\n")] == ["mit.name"], before
+    for before in ("x" + " " * 40, "x_" + "*" * 40, "x. y" + " " * 12):
+        assert known.find(before + "MIT License\n") == [], before
+    # same answers as the pattern over the whole text before the word
+    start, rng = re.compile(r"(?:[.!?;:,(|\"]\s*|\n[^\w\n]*|\A\W*)\Z"), random.Random(6)
+    for _ in range(3000):
+        before = "".join(rng.choice("a_. \n*\t,-(") for _ in range(rng.randint(0, 9)))
+        assert licenses._begins(before + "MIT", len(before)) == bool(start.search(before)), before
+
+
 def test_licence_scan(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "Released under the MIT License.", "b"), (2, "Released under the MIT License.", "b")], "doc_id long, text string, spans string")
     got = sorted((r.doc_id, tuple(r.licences)) for r in licenses.scan(docs).collect())

@@ -95,7 +95,16 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 _WORD = re.compile(r"\w+")
 #: What may follow a whole sentence.
 _END = re.compile(r"[\"')\]]*(?:[.!?;:,]+(?:\s|\Z)|\s*\n|\s*\Z|\s*[-–—(|*])")
-_START = re.compile(r"(?:[.!?;:,(|\"]\s*|\n[^\w\n]*|\A\W*)\Z")
+#: What may stand before a sentence within a line.
+_BEFORE = (".", "!", "?", ";", ":", ",", "(", "|", '"')
+
+
+def _begins(text: str, start: int) -> bool:
+    """Whether a sentence may begin at the word: after a mark, or as the first word of a line, however far indented."""
+    at = start
+    while at and text[at - 1] not in "\n_" and not text[at - 1].isalnum():
+        at -= 1
+    return not at or text[at - 1] == "\n" or text[at:start].rstrip().endswith(_BEFORE)
 
 
 class Sentences:
@@ -117,7 +126,7 @@ class Sentences:
         out, free = [], 0
         for first in self._first.finditer(text):
             start = first.start()
-            if start < free or not _START.search(text, max(0, start - 12), start):
+            if start < free or not _begins(text, start):
                 continue
             node, best = self.trie, None
             for word in _WORD.finditer(text, start):
