@@ -123,5 +123,17 @@ def test_schedule_keeps_targets_and_deficits():
     assert [p for p, _ in seen] == np.cumsum([0, *(n for _, n in seen[:-1])]).tolist()
 
 
+@pytest.mark.parametrize("targets", [None, {"s7": 50, "s8": 3, "": 4}])
+def test_op3_keeps_a_queue_for_each_of_many_sources(spark, monkeypatch, targets):
+    rng = random.Random(8)
+    rows = [(i, "word " * rng.randint(0, 900), f"s{rng.randint(0, 30)}" if i % 9 else None) for i in range(200)]
+    docs = spark.createDataFrame([*rows, (3, None, ""), (3, "one", "s7")], "doc_id long, text string, source string").repartition(3)
+    pack = lambda: sorted(map(tuple, packing.pack(docs, WORD, 2, targets, sequence=512, window_sequences=2).collect()), key=str)
+    few = pack()
+    monkeypatch.setattr(packing, "MAX_QUEUES", 8)
+    monkeypatch.setattr(packing, "MAX_BROADCAST_ROWS", 8)
+    assert pack() == few
+
+
 def test_op3_empty(docs):
     assert packing.pack(docs.limit(0), WORD, 2).collect() == []

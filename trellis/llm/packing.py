@@ -14,9 +14,14 @@ all needs padding.
 
 Default shares are the sources' shares of all tokens, so all queues end together.
 
+Each source has its own queue, whatever their number.  Up to ``MAX_QUEUES`` the lengths of
+all queues go to the tasks, which place their tokens by the closed form alone.  Of more,
+a task knows only its own queues' lengths: it cuts its documents at the windows, the
+stretches of (window, queue) are ordered and summed up as a table, and the cut documents
+are joined to their stretch's place, with the same result.
+
 Defined results: a null or empty text has only the end id; null sources are one more
-queue; with more than ``MAX_QUEUES`` sources, sources share queues by their hash; an
-empty table gives no pieces.
+queue; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -35,6 +40,7 @@ from trellis.llm.vocab import WordEncoder, encoder
 SEQUENCE = 4096
 #: Sequences in a window.
 WINDOW_SEQUENCES = 64
+#: Queues up to which their lengths go to every task.
 MAX_QUEUES = 4096
 #: Rows of (part, queue) lengths that are broadcast at most; beyond it they are joined by a shuffle.
 MAX_BROADCAST_ROWS = 200_000
@@ -43,9 +49,9 @@ MAX_BROADCAST_ROWS = 200_000
 class Schedule:
     """Closed form of the round-robin over queues of given lengths and integer weights."""
 
-    def __init__(self, lengths: list[int], weights: list[int], window: int):
+    def __init__(self, lengths: list[int], weights: list[int], window: int, total: int | None = None):
         self.lengths, self.weights, self.window = lengths, weights, window
-        self.total = sum(weights)
+        self.total = sum(weights) if total is None else total  # of all queues, where only some are given
 
     def served(self, queue: int, windows: int) -> int:
         """Tokens that the queue has given to the first windows."""
@@ -55,14 +61,19 @@ class Schedule:
         """The window that serves the token: the least r with served(r + 1) > token."""
         return -(-(token + 1) * self.total // (self.window * self.weights[queue])) - 1
 
-    def runs(self, queue: int, start: int, stop: int):
-        """(start, stop, place in the output) of the stretches of queue tokens start..stop that one window serves."""
+    def cuts(self, queue: int, start: int, stop: int):
+        """(start, stop, window) of the stretches of queue tokens start..stop that one window serves."""
         while start < stop:
             r = self.window_of(queue, start)
             end = min(stop, self.served(queue, r + 1))
-            yield start, end, self.base(queue, r) + start - self.served(queue, r)
+            yield start, end, r
             start = end
 
+    def runs(self, queue: int, start: int, stop: int):
+        """(start, stop, place in the output) of the stretches of queue tokens start..stop that one window serves."""
+        for a, b, r in self.cuts(queue, start, stop):
+            yield a, b, self.base(queue, r) + a - self.served(queue, r)
+
     def base(self, queue: int, r: int) -> int:
         """Where the queue's stretch of window r begins: all earlier windows, then earlier queues in this one."""
         return sum(self.served(q, r + (q < queue)) for q in range(len(self.lengths)))
@@ -70,11 +81,8 @@ class Schedule:
 
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """Staged table of documents: part, queue, start in (part, queue), doc_id, ids (16-bit), n."""
-    spark = tuned(docs.sparkSession)
-    sources = docs.select(source_col).distinct().limit(MAX_QUEUES + 1).count()
+    tuned(docs.sparkSession)
     queue = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-"))
-    if sources > MAX_QUEUES:
-        queue = F.pmod(F.xxhash64(queue), F.lit(MAX_QUEUES)).cast("string")
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u2").tobytes()
 
@@ -124,35 +132,103 @@ def pack(
     lengths = tokens.groupBy("part", "queue").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = stage(lengths.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "bases")
-    totals = bases.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()  # a row for each queue
-    queues = {r.queue: k for k, r in enumerate(totals)}
-    sizes = [r.n for r in totals]
-    weights = sizes if targets is None else [max(1, int(targets.get(r.queue[1:], 1))) for r in totals]
-    plan = Schedule(sizes, weights, sequence * window_sequences)
-    small = bases.count() <= MAX_BROADCAST_ROWS
-    bases = bases.select("part", "queue", "base")
-    rows = tokens.join(F.broadcast(bases) if small else bases, ["part", "queue"])
+    totals = bases.groupBy("queue").agg(F.sum("n").alias("n"))  # a row for each queue
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window"] + ["ids"] * with_ids
+    schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, `window` long"
+    schema += ", ids array<int>" * with_ids
+    window = sequence * window_sequences
+
+    def pieces(out: list[list], doc_id, n: int, a: int, ids: np.ndarray, place: int) -> None:
+        """Append the pieces of ids, which start at the document's token a and at a place of the output."""
+        while len(ids):
+            own = ids[: sequence - place % sequence]
+            ids = ids[len(own) :]
+            row = [doc_id, a, len(own), zlib.crc32(own.tobytes()), n, place // sequence, place % sequence, place // window]
+            for column, value in zip(out, row + [own.tolist()] * with_ids, strict=True):
+                column.append(value)
+            a, place = a + len(own), place + len(own)
+
+    def table(batch: pa.RecordBatch, out: list[list]) -> pa.RecordBatch:
+        kinds = [batch.schema.field(0).type] + [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
+
+    small = bases.count() <= MAX_BROADCAST_ROWS
+    places = bases.select("part", "queue", "base")
+    rows = tokens.join(F.broadcast(places) if small else places, ["part", "queue"])
+    rows = rows.select(id_col, "queue", (F.col("ahead") + F.col("base")).alias("at"), "n", "ids")
+    if totals.count() > MAX_QUEUES:
+        placed = _placed(rows, totals, targets, window, id_col)
+
+        def cut(batches):
+            for batch in batches:
+                out = [[] for _ in names]
+                for doc_id, n, a, place, raw in zip(*(batch.column(c).to_pylist() for c in range(4)), batch.column(4), strict=True):
+                    pieces(out, doc_id, n, a, np.frombuffer(raw.as_py(), "<u2").astype("<u4"), place)
+                yield table(batch, out)
+
+        return placed.mapInArrow(cut, schema)
+
+    ordered = totals.orderBy("queue").collect()
+    queues = {r.queue: k for k, r in enumerate(ordered)}
+    sizes = [r.n for r in ordered]
+    weights = sizes if targets is None else [max(1, int(targets.get(r.queue[1:], 1))) for r in ordered]
+    plan = Schedule(sizes, weights, window)
 
     def run(batches):
         for batch in batches:
             out = [[] for _ in names]
             for doc_id, queue, at, n, raw in zip(*(batch.column(c).to_pylist() for c in range(4)), batch.column(4), strict=True):
-                q = queues[queue]
                 wide = np.frombuffer(raw.as_py(), "<u2").astype("<u4")
-                for a, b, place in plan.runs(q, at, at + n):
-                    while a < b:
-                        take = min(b - a, sequence - place % sequence)
-                        ids = wide[a - at : a - at + take]
-                        row = [doc_id, a - at, take, zlib.crc32(ids.tobytes()), n, place // sequence, place % sequence, place // plan.window]
-                        for column, value in zip(out, row + [ids.tolist()] * with_ids, strict=True):
-                            column.append(value)
-                        a, place = a + take, place + take
-            kinds = [batch.schema.field(0).type] + [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
+                for a, b, place in plan.runs(queues[queue], at, at + n):
+                    pieces(out, doc_id, n, a - at, wide[a - at : b - at], place)
+            yield table(batch, out)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _placed(rows: DataFrame, totals: DataFrame, targets: dict[str, int] | None, window: int, id_col: str) -> DataFrame:
+    """(id_col, n, start in the document, place in the output, ids) of the stretches of documents that one window serves.
+
+    A (window, queue) has at most ``window`` tokens, so no key of these joins is large.
+    """
+    spark = rows.sparkSession
+    if targets is None:
+        shares = totals.withColumn("weight", F.col("n"))
+    else:
+        given = spark.createDataFrame([(k, max(1, int(w))) for k, w in targets.items()], "name string, weight long")
+        shares = totals.join(given, F.substring("queue", 2, 1 << 30) == F.col("name"), "left").drop("name").fillna(1, ["weight"])
+    shares = stage(shares.withColumnRenamed("n", "length"), "shares")
+    total = int(shares.agg(F.sum(F.col("weight").cast("decimal(38,0)"))).first()[0])
+    kind = rows.schema[id_col].dataType.simpleString()
+    names = [id_col, "n", "start", "r", "queue", "within", "stretch", "ids"]
+
+    def cut(batches):
+        for batch in batches:
+            columns = batch.to_pydict()
+            out = [[] for _ in names]
+            for doc_id, queue, at, n, ids, length, weight in zip(*columns.values(), strict=True):
+                own = Schedule([length], [weight], window, total)
+                for a, b, r in own.cuts(0, at, at + n):
+                    before = own.served(0, r)
+                    row = (doc_id, n, a - at, r, queue, a - before, own.served(0, r + 1) - before, ids[2 * (a - at) : 2 * (b - at)])
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+            kinds = [batch.schema.field(0).type, *[pa.int64()] * 3, pa.string(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
 
-    schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, `window` long"
-    return rows.select(id_col, "queue", (F.col("ahead") + F.col("base")).alias("at"), "n", "ids").mapInArrow(
-        run, schema + ", ids array<int>" * with_ids
-    )
+    parts = rows.join(shares, "queue").select(id_col, "queue", "at", "n", "ids", "length", "weight")
+    parts = stage(parts.mapInArrow(cut, f"`{id_col}` {kind}, n long, start long, r long, queue string, within long, stretch long, ids binary"), "cuts")
+    # running sums over all stretches: within ranges of (window, queue), and before the ranges
+    stretches = parts.where("within = 0").select("r", "queue", "stretch").repartitionByRange("r", "queue")
+    stretches = stage(stretches.withColumn("range", F.spark_partition_id()), "stretches")
+    ahead = Window.partitionBy("range").orderBy("r", "queue").rowsBetween(Window.unboundedPreceding, -1)
+    ranges, before = [], 0
+    for row in stretches.groupBy("range").agg(F.sum("stretch").alias("n")).orderBy("range").collect():
+        ranges.append((row.range, before))
+        before += row.n
+    bases = spark.createDataFrame(ranges, "range int, first long")
+    stretches = stretches.withColumn("base", F.coalesce(F.sum("stretch").over(ahead), F.lit(0))).join(F.broadcast(bases), "range")
+    stretches = stretches.select("r", "queue", (F.col("first") + F.col("base")).alias("base"))
+    placed = parts.join(stretches, ["r", "queue"])
+    return placed.select(id_col, "n", "start", (F.col("base") + F.col("within")).alias("place"), "ids")
