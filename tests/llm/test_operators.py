@@ -49,6 +49,23 @@ def test_pii_is_valid_linked_and_whole(spark):
     assert all(r.pii_found == "c" for r in out)
 
 
+def test_pii_cards_among_other_numbers(spark):
+    card = "4111111111111111"
+    spaced, dashed = "4111 1111 1111 1111", "4111-1111-1111-1111"
+    forms = [
+        spaced + " 12/26", card + " 123", dashed + "-123", dashed + "-1234", "12 " + spaced, "12-" + dashed, "12 35 " + spaced + " 12 26 123",
+        spaced + " 31/12/2024", card + " 10.1.2.3",
+    ]
+    docs = spark.createDataFrame([(i, f"pay {t} now {card}.") for i, t in enumerate(forms)], "doc_id long, text string")
+    out = [r.text for r in pii.pseudonymise(docs, "k").orderBy("doc_id").collect()]
+    made = re.search(r"now (\d+)", out[0])[1]
+    assert luhn(made) and made != card
+    for text, form in zip(out, forms, strict=True):
+        assert made in re.sub("[ -]", "", text.split("now")[0]), form
+        assert spaced not in text and dashed not in text and card not in text, form
+    assert "31/12/2024" not in out[7] and "10.1.2.3" not in out[8]
+
+
 def test_feistel_is_a_permutation(spark):
     grid = spark.range(35 * 12).select((F.col("id") % 35).alias("l"), F.floor(F.col("id") / 35).alias("r"))
     out = grid.select(pii.feistel("k", F.lit("t"), F.col("l"), F.col("r"), F.lit(35), F.lit(12)).alias("x")).distinct()

@@ -7,7 +7,9 @@ permutation, so distinct values get distinct pseudonyms, equal values the same o
 every document and in every notation, and the result is valid again:
 
 * payment cards (13-19 digits, Luhn): the first digit and the length stay, the digits
-  between are permuted, the check digit is computed anew;
+  between are permuted, the check digit is computed anew; among further numbers (expiry,
+  security code) a card is the longest valid span of whole groups from the first group on
+  that begins one;
 * telephone numbers (+1 and ten-digit notations with valid area and exchange codes are
   permuted among such numbers; other +numbers keep length and the first two digits);
 * IPv4 addresses, social security numbers, and dates from 1900 to 2099 in the notations
@@ -31,10 +33,14 @@ EMAIL = r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A
 IPV4 = r"(?<![\w.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\w|\.[0-9])"
 DATE = r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\w/-])"
 SSN = r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"
-CARD = r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])"
+_CARD_END = r"(?!\w|-(?![0-9]))"
+CARD = rf"(?<![\w.-])[0-9](?:[ -]?[0-9]){{12,18}}{_CARD_END}"
+#: Where a card may begin among other numbers.
+_CARD_START = r"(?:(?<![\w.-])|(?<=(?<![\w.-])[0-9][0-9-]{0,17}-))"
 PHONE = r"(?<![\w+-])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])"
 ABROAD = r"(?<![\w+])\+[2-9][0-9](?:[ .()-]{0,2}[0-9]){6,13}(?![\w-])"
-ANY = "|".join((EMAIL, IPV4, DATE, SSN, PHONE, ABROAD, CARD))
+_OTHERS = "|".join((EMAIL, IPV4, DATE, SSN, PHONE, ABROAD))
+ANY = f"{_OTHERS}|{CARD}"
 
 _DAYS = (17, 4297)  # 73,049 days from 1900-01-01 to 2099-12-31
 _MAX_BLOCK = 10  # letters of a block
@@ -98,6 +104,18 @@ def _card(key: str, s: Column) -> Column:
     return F.when(_luhn(d) % 10 == 0, _put(s, "0-9", F.concat(body, check.cast("string"))))
 
 
+def _refused_card(s: Column) -> Column:
+    return s.rlike(rf"\A(?:{CARD})\z") & (_luhn(_only_digits(s)) % 10 != 0)
+
+
+def _exact(text: Column) -> Column:
+    """The pattern of all kinds with, in place of CARD, the valid cards among all spans of whole groups of digits, longest first."""
+    spans = [F.regexp_extract_all(text, F.lit(rf"{_CARD_START}(?=([0-9](?:[ -]?[0-9]){{{n}}}{_CARD_END}))"), F.lit(1)) for n in range(18, 11, -1)]
+    cards = F.filter(F.array_distinct(F.flatten(F.array(*spans))), lambda s: _luhn(_only_digits(s)) % 10 == 0)
+    some = F.concat(F.lit(f"{_OTHERS}|{_CARD_START}(?:"), F.array_join(cards, "|"), F.lit(f"){_CARD_END}"))
+    return F.when(F.size(cards) > 0, some).otherwise(F.lit(_OTHERS))
+
+
 def _phone(key: str, s: Column) -> Column:
     d = _only_digits(s)
     ten = F.right(d, F.lit(10))
@@ -198,15 +216,19 @@ def _taken(names: list[str], wanted: str) -> str:
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with pseudonyms in ``text_col`` (and, if named, the number of values replaced in ``count_col``)."""
-    found_col, made_col = (_taken(docs.columns, n) for n in ("pii_found", "pii_made"))
-    pieces = F.split(F.col(text_col), ANY, -1)
+    found_col, made_col, any_col = (_taken(docs.columns, n) for n in ("pii_found", "pii_made", "pii_any"))
     # every pattern needs a digit or an @
     found = F.when(F.col(text_col).rlike("[0-9@]"), F.regexp_extract_all(text_col, F.lit(ANY), F.lit(0)))
     out = docs.withColumn(found_col, F.coalesce(found, F.array().cast("array<string>")))
+    # only where a card's check fails: the text is searched again with its valid cards
+    out = out.withColumn(any_col, F.when(F.exists(found_col, _refused_card), _exact(F.col(text_col))))
+    again = F.regexp_extract_all(text_col, F.col(any_col), F.lit(0))
+    out = out.withColumn(found_col, F.when(F.col(any_col).isNull(), F.col(found_col)).otherwise(again))
+    pieces = F.when(F.col(any_col).isNull(), F.split(F.col(text_col), ANY, -1)).otherwise(F.split(F.col(text_col), F.col(any_col), -1))
     out = out.withColumn(made_col, F.transform(found_col, lambda s: pseudonym(key, s)))
     text = F.array_join(F.zip_with(pieces, made_col, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
     changed = F.when(F.size(found_col) > 0, text).otherwise(F.col(text_col))
     if count_col is not None:
         count = F.size(F.filter(F.zip_with(found_col, made_col, lambda old, new: old != new), lambda differs: differs))
         out = out.withColumn(count_col, F.when(F.col(text_col).isNull(), 0).otherwise(count).cast("long"))
-    return out.withColumn(text_col, changed).drop(found_col, made_col)
+    return out.withColumn(text_col, changed).drop(found_col, made_col, any_col)
