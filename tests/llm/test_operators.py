@@ -66,6 +66,18 @@ def test_pii_cards_among_other_numbers(spark):
     assert "31/12/2024" not in out[7] and "10.1.2.3" not in out[8]
 
 
+def test_pii_telephones_after_plus_one(spark):
+    same = ["+12125551234", "+1 2125551234", "+1 (212) 555-1234", "+1-212-5551234", "+1.212.555.1234"]
+    low = ["+1 (123) 555-1234", "+11235551234", "+1 (212) 155-1234", "+1 000 000 0000"]
+    rows = [(i, f"call {t}, now") for i, t in enumerate([*same, *low, "(123) 555-1234", "+1 21255512345"])]
+    out = [r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert all(re.sub("[0-9]", "9", t) == re.sub("[0-9]", "9", r[1]) for t, r in zip(out, rows, strict=True))
+    made = [re.sub("[^0-9]", "", t) for t in out]
+    assert len(set(made[:5])) == 1 and made[0] != "12125551234" and made[0][1] >= "2" <= made[0][4]
+    assert made[5] == made[6] != "11235551234" and len({*made[5:9]}) == 3 and all(m[0] == "1" and (m[1] < "2" or m[4] < "2") for m in made[5:9])
+    assert all(t != r[1] for t, r in zip(out[:9], rows, strict=False)) and [out[9], out[10]] == [rows[9][1], rows[10][1]]
+
+
 def test_feistel_is_a_permutation(spark):
     grid = spark.range(35 * 12).select((F.col("id") % 35).alias("l"), F.floor(F.col("id") / 35).alias("r"))
     out = grid.select(pii.feistel("k", F.lit("t"), F.col("l"), F.col("r"), F.lit(35), F.lit(12)).alias("x")).distinct()

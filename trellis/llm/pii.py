@@ -11,7 +11,8 @@ every document and in every notation, and the result is valid again:
   security code) a card is the longest valid span of whole groups from the first group on
   that begins one;
 * telephone numbers (+1 and ten-digit notations with valid area and exchange codes are
-  permuted among such numbers; other +numbers keep length and the first two digits);
+  permuted among such numbers, other numbers after an explicit +1 among the other ones; other
+  +numbers keep length and the first two digits);
 * IPv4 addresses, social security numbers, and dates from 1900 to 2099 in the notations
   2024-01-31, 31.01.2024 and 31/01/2024, permuted among the days of these years;
 * e-mail addresses: the letters and the digits before the @ are permuted, blockwise, with
@@ -38,8 +39,9 @@ CARD = rf"(?<![\w.-])[0-9](?:[ -]?[0-9]){{12,18}}{_CARD_END}"
 #: Where a card may begin among other numbers.
 _CARD_START = r"(?:(?<![\w.-])|(?<=(?<![\w.-])[0-9][0-9-]{0,17}-))"
 PHONE = r"(?<![\w+-])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])"
+NORTH = r"(?<![\w+])\+1(?:[ .()-]{0,2}[0-9]){10}(?![\w-])"  # any separators after an explicit +1
 ABROAD = r"(?<![\w+])\+[2-9][0-9](?:[ .()-]{0,2}[0-9]){6,13}(?![\w-])"
-_OTHERS = "|".join((EMAIL, IPV4, DATE, SSN, PHONE, ABROAD))
+_OTHERS = "|".join((EMAIL, IPV4, DATE, SSN, PHONE, NORTH, ABROAD))
 ANY = f"{_OTHERS}|{CARD}"
 
 _DAYS = (17, 4297)  # 73,049 days from 1900-01-01 to 2099-12-31
@@ -120,14 +122,15 @@ def _phone(key: str, s: Column) -> Column:
     d = _only_digits(s)
     ten = F.right(d, F.lit(10))
     area, exchange, line = (F.substring(ten, a, n).cast("long") for a, n in ((1, 3), (4, 3), (7, 4)))
-    out = feistel(key, F.lit("phone"), (area - 200) * 800 + exchange - 200, line, F.lit(640_000), F.lit(10_000))
-    new = F.concat(
-        F.substring(d, F.lit(1), F.length(d) - 10),
-        (F.floor(out["l"] / 800) + 200).cast("string"),
-        (out["l"] % 800 + 200).cast("string"),
-        F.lpad(out["r"].cast("string"), 4, "0"),
-    )
-    return F.when((area >= 200) & (exchange >= 200), _put(s, "0-9", new))
+    valid = (area >= 200) & (exchange >= 200)
+    # the others: 200 x 1000 with a low area code, then 800 x 200 with a low exchange code alone
+    low = F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange)
+    head = F.when(valid, (area - 200) * 800 + exchange - 200).otherwise(low)
+    out = feistel(key, F.when(valid, "phone").otherwise("phone-low"), head, line, F.when(valid, 640_000).otherwise(360_000), F.lit(10_000))
+    new_low = F.when(out["l"] < 200_000, out["l"]).otherwise(200_000 + F.floor((out["l"] - 200_000) / 200) * 1000 + (out["l"] - 200_000) % 200)
+    new = F.when(valid, (F.floor(out["l"] / 800) + 200) * 1000 + out["l"] % 800 + 200).otherwise(new_low)
+    new = F.concat(F.substring(d, F.lit(1), F.length(d) - 10), F.lpad(new.cast("string"), 6, "0"), F.lpad(out["r"].cast("string"), 4, "0"))
+    return F.when(valid | s.startswith("+1"), _put(s, "0-9", new))
 
 
 def _abroad(key: str, s: Column) -> Column:
@@ -202,7 +205,7 @@ def pseudonym(key: str, s: Column) -> Column:
     """The pseudonym of one matched value; the value itself where validation refuses it."""
     whole = lambda p: s.rlike(rf"\A(?:{p})\z")
     new = F.when(s.contains("@"), _email(key, s))
-    kinds = ((IPV4, _ipv4), (DATE, _date), (SSN, _ssn), (PHONE, _phone), (ABROAD, _abroad), (CARD, _card))
+    kinds = ((IPV4, _ipv4), (DATE, _date), (SSN, _ssn), (f"{PHONE}|{NORTH}", _phone), (ABROAD, _abroad), (CARD, _card))
     for pattern, make in kinds:
         new = new.when(whole(pattern), make(key, s))
     return F.coalesce(new, s)
