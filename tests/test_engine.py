@@ -131,3 +131,12 @@ def test_filters_reach_the_scan(spark, tmp_path):
     s = GraphSession(spark).add_entity("T", spark.read.parquet(f"{tmp_path}/t").withColumnRenamed("k", "__ID__"))
     plan = s.explain("MATCH (t:T) WHERE t.v > 6 RETURN t.v AS v")
     assert "GreaterThan(v,6)" in plan and "ReadSchema: struct<v:bigint>" in plan
+
+
+def test_shortest_path_honours_bounds_over_twenty(spark):
+    from trellis.operators.paths import shortest
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(23)], "s long, t long")
+    start = spark.createDataFrame([(0,)], "start long")
+    assert sorted((r.end, r.hops) for r in shortest(start, chain, 20, 22).collect()) == [(20, 20), (21, 21), (22, 22)]
+    assert max(r.hops for r in shortest(start, chain, 1, None).collect()) == 20

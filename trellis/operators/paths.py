@@ -53,7 +53,7 @@ def shortest(starts: DataFrame, edges: DataFrame, least: int, most: int | None)
     edges = edges.select("s", "t")
     frontier = starts.select("start", F.col("start").alias("end")).distinct()
     reached = frontier.withColumn("hops", F.lit(0)).where(F.lit(least == 0))
-    for hop in range(1, (MAX_HOPS if most is None else min(most, MAX_HOPS)) + 1):
+    for hop in range(1, (MAX_HOPS if most is None else most) + 1):
         step = frontier.join(edges, F.col("end") == F.col("s")).select("start", F.col("t").alias("end")).distinct()
         if hop < least:
             frontier = step
