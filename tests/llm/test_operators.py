@@ -228,6 +228,11 @@ def test_signatures_are_unbiased():
     assert abs(found - truth) < 4 * np.sqrt(truth * (1 - truth) / 2048)
 
 
+def test_least_agreement_follows_the_threshold():
+    assert bagminhash.least_agree(0.8) == 92 and bagminhash.least_agree(0.0) == 0 and bagminhash.least_agree(1.0) == bagminhash.SIZE
+    assert bagminhash.least_agree(0.7) < 80 and bagminhash.least_agree(0.6) < 65
+
+
 def test_classes_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(bagminhash, "FEW", 20)  # larger buckets take the path of blocks
     rng = random.Random(7)

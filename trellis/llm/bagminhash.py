@@ -16,7 +16,8 @@ similarity, a number of pairs linear in the bucket.  What a pivot did not catch
 exactly: similarity distance is a metric, so a node y farther than 1 - t from the pivot
 links only with nodes x of the bucket with |d(x, pivot) - d(y, pivot)| <= 1 - t, and only
 pairs in different components can change the result; those pairs are compared too.
-Classes are connected components of links.  Every pair is verified, no bucket is capped.
+Classes are connected components of links.  Every link is verified, no bucket is
+capped; in large buckets only pairs whose signatures agree in ``least_agree`` components are.
 
 Defined results: null and empty texts, or texts of white space only, are no copies of
 anything, also not of each other; a class's id is its smallest doc_id; rows that repeat a
@@ -37,8 +38,6 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 28, 5
 SIZE = BANDS * ROWS
-#: Components that a link's signatures agree in at least: 4.2 standard deviations under the mean at 0.8.
-LEAST_AGREE = 92
 #: Pairs of a bucket up to which they are joined.
 FEW = 1024
 #: Bytes of the bags that a block of a larger bucket holds, about.
@@ -48,6 +47,11 @@ _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
 
 
+def least_agree(threshold: float) -> int:
+    """Components that a link's signatures agree in at least: 4.2 standard deviations under the mean."""
+    return max(0, int(SIZE * threshold - 4.2 * (SIZE * threshold * (1 - threshold)) ** 0.5))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -204,11 +208,11 @@ def _remaining(judged: DataFrame, shorts: DataFrame, texts: DataFrame, threshold
     """Pairs of a bucket, not both near its pivot, that can link different components: (a, b) to verify, and verified ones.
 
     Buckets of few such pairs are joined.  Of larger ones, blocks of signatures and bags
-    are compared in memory: pairs that agree in ``LEAST_AGREE`` components are verified
+    are compared in memory: pairs that agree in ``least_agree`` components are verified
     there (links agree in fewer with a probability below that of sharing no band), and
     only links leave the task.
     """
-    far = F.col("j") < threshold
+    far, least = F.col("j") < threshold, least_agree(threshold)
     sizes = judged.groupBy("key").agg(F.count_if(far).alias("l"), F.count(F.lit(1)).alias("m"), F.min("label").alias("x"), F.max("label").alias("y"))
     sizes = stage(sizes.where("l > 0 and x <> y").select("key", "l", "m"), "sizes")
     rows = judged.join(sizes, "key")
@@ -242,7 +246,7 @@ def _remaining(judged: DataFrame, shorts: DataFrame, texts: DataFrame, threshold
             sizes = np.array([len(b) for b in xbags])
             for k, own in enumerate(ybags):
                 may = np.flatnonzero((np.abs(i - j[k]) <= 1 - threshold + 1e-9) & (marks != labels[k]))
-                hits = may[(xs[may] == ys[k]).sum(1) >= LEAST_AGREE]
+                hits = may[(xs[may] == ys[k]).sum(1) >= least]
                 if not len(hits):
                     continue
                 elements = np.concatenate([xbags[h] for h in hits])
