@@ -80,7 +80,6 @@ def test_elias_fano_select():
 
 def test_op10_round_trip(docs, spark):
     coder, start, expected = Tokenizer.from_file(BYTE), 0, []
-    coder.encode_special_tokens = True
     rows = sorted(docs.collect(), key=lambda r: r.doc_id)
     for r in rows:
         ids = [*coder.encode(r.text or "", add_special_tokens=False).ids, 0]
@@ -95,7 +94,6 @@ def test_op10_round_trip(docs, spark):
 @pytest.mark.parametrize("targets", [None, {"a": 5, "b": 1}])
 def test_op3_packs_every_id_once(docs, targets):
     coder = Tokenizer.from_file(WORD)
-    coder.encode_special_tokens = True
     whole = defaultdict(list)
     for r in docs.collect():
         whole[r.doc_id].append([*coder.encode(r.text or "", add_special_tokens=False).ids, 2])

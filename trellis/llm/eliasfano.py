@@ -16,8 +16,12 @@ bounded by that and the longest text.  Files are written by Spark's writer, unde
 commit protocol, into any store Spark reaches, in ascending order of (doc_id, hash of
 the text) over file names.
 
+A reader gets each document's place by ``select`` in its block's boundaries.
+
 Defined results: a null or empty text has only the end id; documents whose doc_id is
-null come first; equal doc_ids are ordered by the hash of their text.
+null come first; equal doc_ids are ordered by the hash of their text; a text that holds an
+added token of the tokenizer gets that token's id there, as from the library; a very long
+text makes its block longer.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ from trellis.llm.vocab import ByteLevelEncoder, encoder
 
 MAGIC = b"EFTK1\0"
 BLOCK_IDS = 4_000_000
+#: Blocks of a file at most: a file is one value to its reader.
+FILE_BLOCKS = 8
 SAMPLE = 256
 _ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 
@@ -128,11 +134,15 @@ class Block:
         self.ends, at = EliasFano.read(data, at + 6 + struct.calcsize("<HQQQ"))
         ids, at = EliasFano.read(data, at)
         (first,) = struct.unpack_from("<q", data, at)
-        self.doc_ids = [None] * nulls + [int(x) + first for x in ids.all()]
+        self._nulls, self._ids, self._first = nulls, ids, first
         self.end = at + 8 + self.count * self.width
         self.ids = np.frombuffer(data[at + 8 : self.end], f"<u{self.width}")
 
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self._nulls else self._ids[i - self._nulls] + self._first
+
     def bounds(self, i: int) -> tuple[int, int]:
+        """Start and end of document i in the id array, each by one select."""
         return (self.ends[i - 1] if i else 0), self.ends[i]
 
 
@@ -149,13 +159,18 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id_col:
     tuned(docs.sparkSession)
     end = np.array([end_id], "<u2").tobytes()
 
-    def run(batches):
+    def encode(batches):
         coder = encoder(ByteLevelEncoder, tokenizer_path)
+        for batch in batches:
+            ids = [coder.encode(t.as_py() or "") + end for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["id", "tie", "ids"])
+
+    def run(batches):
         doc_ids, parts, size = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
                 doc_ids.append(doc_id)
-                parts.append(coder.encode(text.as_py() or "") + end)
+                parts.append(ids.as_py())
                 size += len(parts[-1])
                 if size >= 2 * BLOCK_IDS:
                     yield pa.RecordBatch.from_arrays([pa.array([block(doc_ids, parts, 2)], pa.binary())], ["block"])
@@ -163,14 +178,17 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id_col:
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array([block(doc_ids, parts, 2)], pa.binary())], ["block"])
 
-    order = [F.col(id_col).cast("long").asc_nulls_first(), F.xxhash64(text_col)]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tie"), text_col)
+    # ids are a fraction of their texts: they, and not the texts, are sampled for the ranges and shuffled
+    encoded = stage(rows.mapInArrow(encode, "id long, tie long, ids binary"), "encoded")
+    order = [F.col("id").asc_nulls_first(), F.col("tie")]
     (
-        docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
-        .repartitionByRange(*order)
+        encoded.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .mapInArrow(run, "block binary")
         .select(F.col("block").cast("string").alias("value"))
         .write.option("lineSep", "\n")
+        .option("maxRecordsPerFile", FILE_BLOCKS)
         .text(path)
     )
 
@@ -182,36 +200,37 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     def run(batches):
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part, number = (int(x) for x in file.split("-"))
                 base = 0
                 for one in blocks(content.as_py()):
-                    ends = one.ends.all()
-                    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                    wide = one.ids.astype("<u4")
-                    crcs = [zlib.crc32(wide[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    bounds = [one.bounds(i) for i in range(one.docs)]
+                    crcs = [zlib.crc32(one.ids[a:b].astype("<u4").tobytes()) for a, b in bounds]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.full(len(ends), file, np.int64)),
-                            pa.array(one.doc_ids, pa.int64()),
-                            pa.array(starts + base),
-                            pa.array(ends - starts),
+                            pa.array([part] * one.docs, pa.int64()),
+                            pa.array([number] * one.docs, pa.int64()),
+                            pa.array([one.doc_id(i) for i in range(one.docs)], pa.int64()),
+                            pa.array([a + base for a, _ in bounds], pa.int64()),
+                            pa.array([b - a for a, b in bounds], pa.int64()),
                             pa.array(crcs, pa.int64()),
                         ],
-                        ["file", id_col, "start", "n_tokens", "ids_crc32"],
+                        ["part", "number", id_col, "start", "n_tokens", "ids_crc32"],
                     )
                     base += one.count
 
-    schema = f"file long, `{id_col}` long, start long, n_tokens long, ids_crc32 long"
-    number = F.regexp_extract("path", r"part-(\d+)", 1).cast("long")
+    schema = f"part long, number long, `{id_col}` long, start long, n_tokens long, ids_crc32 long"
+    # files of a partition are numbered in their order at the end of their names
+    number = F.concat_ws("-", F.regexp_extract("path", r"part-(\d+)", 1), F.regexp_extract("path", r"-c(\d+)[^/]*$", 1))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     try:
         found = stage(spark.read.format("binaryFile").load(path).select(number, "content").mapInArrow(run, schema), "tokens")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
     # one row for each file
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    totals = found.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    bases = totals.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return found.join(bases, "file").select(id_col, (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
+    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
+    totals = found.groupBy("part", "number").agg(F.sum("n_tokens").alias("n"))
+    bases = totals.select("part", "number", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return found.join(bases, ["part", "number"]).select(id_col, (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,11 +23,28 @@ def _bytes_of(ids) -> bytes:
     return array("H", ids).tobytes()
 
 
-class ByteLevelEncoder:
-    """Little-endian 16-bit ids of texts by a byte-level BPE file, special strings being ordinary text."""
+class _Whole:
+    """The whole tokenizer, for texts that hold one of its added tokens: those are cut out before all else."""
 
     def __init__(self, path: str):
-        model, table = Tokenizer.from_file(path).model, _byte_chars()
+        self._whole = Tokenizer.from_file(path)
+        self._added = tuple(t.content for t in self._whole.get_added_tokens_decoder().values())
+        if any(t.normalized for t in self._whole.get_added_tokens_decoder().values()):
+            raise ValueError(f"{path} has added tokens of normalised text")
+
+    def _library(self, text: str) -> bytes:
+        return _bytes_of(self._whole.encode(text, add_special_tokens=False).ids)
+
+    def _plain(self, text: str) -> bool:
+        return not any(t in text for t in self._added)
+
+
+class ByteLevelEncoder(_Whole):
+    """Little-endian 16-bit ids of texts by a byte-level BPE file, as the library gives them without special tokens."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        model, table = self._whole.model, _byte_chars()
 
         def piece(text: str) -> tuple:
             return tuple(t.id for t in model.tokenize(text.encode("utf-8").decode("latin-1").translate(table)))
@@ -35,10 +52,10 @@ class ByteLevelEncoder:
         self._encoder = PatternEncoder(BYTE_LEVEL_PATTERN, piece, _bytes_of)
 
     def encode(self, text: str) -> bytes:
-        return b"".join(self._encoder.parts(text))
+        return b"".join(self._encoder.parts(text)) if self._plain(text) else self._library(text)
 
 
-class WordEncoder:
+class WordEncoder(_Whole):
     """Little-endian 16-bit ids by a word-level BPE file that lowers case and drops white space.
 
     Cutting at spaces is safe as no word holds one.  Words of Latin letters, with
@@ -47,16 +64,12 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        self._whole, table = Tokenizer.from_file(path), _byte_chars()
-        self._whole.encode_special_tokens = True
-        model = self._whole.model
+        super().__init__(path)
+        model, table, rest = self._whole.model, _byte_chars(), self._library
 
         def piece(text: str) -> bytes:
             return _bytes_of([t.id for t in model.tokenize(text.lower().encode("utf-8").decode("latin-1").translate(table))])
 
-        def rest(text: str) -> bytes:
-            return _bytes_of(self._whole.encode(text, add_special_tokens=False).ids)
-
         marks = {m: rest(m) for m in PatternEncoder.MARKS}
 
         def chunk(text: str) -> bytes:
@@ -70,7 +83,7 @@ class WordEncoder:
         self._chunks = _Memo(chunk, MEMO_CHUNKS)
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self._chunks.__getitem__, text.split(" ")))
+        return b"".join(map(self._chunks.__getitem__, text.split(" "))) if self._plain(text) else self._library(text)
 
 
 _made: dict[tuple, object] = {}
