@@ -112,13 +112,27 @@ def test_op3_packs_every_id_once(docs, targets):
         assert {i for _, _, i in spans} <= set(expected) and sum(n for _, n, _ in spans) == sum(map(len, parts))
 
 
-def test_schedule_keeps_targets_and_deficits():
+def test_schedule_fills_windows_to_targets():
+    rng = random.Random(1)
     plan = packing.Schedule([1000, 5000, 10], [1, 4, 2], 70)
-    for r in range(5):
-        served = [plan.served(q, r + 1) - plan.served(q, r) for q in range(3)]
-        assert served[:2] == [10, 40]
-    seen = sorted((place, end - start) for q, n in enumerate(plan.lengths) for start, end, place in plan.runs(q, 0, n))
-    assert [p for p, _ in seen] == np.cumsum([0, *(n for _, n in seen[:-1])]).tolist()
+    parts = [[plan.served(q, r + 1) - plan.served(q, r) for q in range(3)] for r in range(86)]
+    assert parts[0] == [12, 48, 10] and all(abs(a - 14) <= 1 and abs(b - 56) <= 1 and c == 0 for a, b, c in parts[1:70])
+    for _ in range(30):  # against a plain loop that serves unit credits
+        lengths, weights = [rng.randint(1, 3000) for _ in range(rng.randint(1, 9))], [rng.randint(1, 50) for _ in range(9)]
+        plan = packing.Schedule(lengths, weights[: len(lengths)], 97)
+        served, r = [0] * len(lengths), 0
+        while served != lengths:
+            new = [plan.served(q, r + 1) for q in range(len(lengths))]
+            gave = [b - a for a, b in zip(served, new, strict=True)]
+            left = [q for q in range(len(lengths)) if new[q] < lengths[q]]
+            assert abs(sum(new) - min((r + 1) * 97, sum(lengths))) <= len(lengths)  # every window is full, but for what is carried
+            for q in left:  # those that remain are served in proportion, deficits carried
+                for p in left:
+                    assert abs(new[q] / weights[q] - new[p] / weights[p]) <= 1 / weights[q] + 1 / weights[p] + 1e-6
+            assert all(g >= 0 for g in gave)
+            served, r = new, r + 1
+        seen = sorted((place, end - start) for q, n in enumerate(plan.lengths) for start, end, place in plan.runs(q, 0, n))
+        assert [p for p, _ in seen] == np.cumsum([0, *(n for _, n in seen[:-1])]).tolist() and sum(n for _, n in seen) == sum(lengths)
 
 
 @pytest.mark.parametrize("targets", [None, {"s7": 50, "s8": 3, "": 4}])
@@ -126,7 +140,7 @@ def test_op3_keeps_a_queue_for_each_of_many_sources(spark, monkeypatch, targets)
     rng = random.Random(8)
     rows = [(i, "word " * rng.randint(0, 900), f"s{rng.randint(0, 30)}" if i % 9 else None) for i in range(200)]
     docs = spark.createDataFrame([*rows, (3, None, ""), (3, "one", "s7")], "doc_id long, text string, source string").repartition(3)
-    pack = lambda: sorted(map(tuple, packing.pack(docs, WORD, 2, targets, sequence=512, window_sequences=2).collect()), key=str)
+    pack = lambda: sorted(map(tuple, packing.pack(docs, WORD, 2, targets, 0.7, sequence=512, window_sequences=2).collect()), key=str)
     few = pack()
     monkeypatch.setattr(packing, "MAX_QUEUES", 8)
     monkeypatch.setattr(packing, "MAX_BROADCAST_ROWS", 8)

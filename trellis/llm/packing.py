@@ -1,18 +1,25 @@
 """Operator 3: mixture-controlled packing of documents into fixed sequences.
 
-Each source is a queue of tokens.  A window of ``window`` tokens credits every queue
-with its target share; the queue is served the whole tokens of its credit and the
-rest stays as its deficit for the next window (deficit round-robin).  So after r
-windows a queue with share p has been served min(floor(r * window * p), its length)
-tokens, whatever the windows before held: a window's content, and each token's place
-in the output, follow in closed form from the queues' lengths and the token's place
-in its queue.  A queue is in the order of the parts of the tokenised table, so a part
-needs only the lengths of the parts before it, and no text or id is shuffled.  When a
-queue is empty the others keep their proportions and the window is shorter; sequences
-stay full, since windows follow one another without gaps.  Only the last sequence of
-all needs padding.
-
-Default shares are the sources' shares of all tokens, so all queues end together.
+Each source is a queue of tokens with a target weight.  A window of ``window`` tokens
+credits every queue that still holds tokens in proportion to its weight; the queue is
+served the whole tokens of its credit and the rest stays as its deficit for the next
+window (deficit round-robin).  When a queue is empty its part of the credit goes to the
+others, so every window is filled, at the target proportions of the sources that remain.
+
+In closed form: let x be the credit for each unit of weight since the start.  A queue has
+been served min(floor(x * weight), length) tokens, and all queues together S(x), which is
+linear between the levels at which queues run dry.  Window r ends at the level where S is
+(r + 1) * window.  So a window's content, and each token's place in the output, follow
+from the queues' lengths and the token's place in its queue, whatever the windows before
+held.  Levels are knots of S, one for each 64th of a doubling of the level at which queues
+run dry: their number is bounded, and where several queues share a knot windows are about
+one per cent shorter at most.  A queue is in the order of the parts of the tokenised table,
+so a part needs only the lengths of the parts before it, and no text or id is shuffled.
+Sequences are full, since windows follow one another without gaps.  Only the last sequence
+of all needs padding.
+
+Weights are given by source, or are the sources' sizes to the power ``temperature``: 1
+keeps the corpus's own shares, less favours small sources while they last.
 
 Each source has its own queue, whatever their number.  Up to ``MAX_QUEUES`` the lengths of
 all queues go to the tasks, which place their tokens by the closed form alone.  Of more,
@@ -21,12 +28,15 @@ stretches of (window, queue) are ordered and summed up as a table, and the cut d
 are joined to their stretch's place, with the same result.
 
 Defined results: a null or empty text has only the end id; null sources are one more
-queue; an empty table gives no pieces.
+queue; an empty table gives no pieces; repeated rows are documents of their own; a text
+that holds an added token of the tokenizer gets that token's id there, as from the library;
+a very long text is cut like any other.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -46,20 +56,58 @@ MAX_QUEUES = 4096
 MAX_BROADCAST_ROWS = 200_000
 
 
+#: Units of a level of 1.
+UNIT = 1 << 64
+#: Steps of the logarithm by which queues share a knot.
+KNOTS = 64
+
+
+class Levels:
+    """Level of credit by tokens served: linear between knots (level in 1 / UNIT, tokens), both ascending from (0, 0)."""
+
+    def __init__(self, groups: list[tuple[float, int, int]]):
+        """``groups``: (level at which all are dry, tokens, weight) of queues, ascending."""
+        self.x, self.tokens, dry, weight = [0], [0], 0, sum(g[2] for g in groups)
+        for level, length, w in groups:
+            top = int(level * (1 + 1e-12) * UNIT) + 1
+            dry, weight = dry + length, weight - w
+            served = dry + top * weight // UNIT
+            if top > self.x[-1] and served > self.tokens[-1]:
+                self.x.append(top)
+                self.tokens.append(served)
+
+    @staticmethod
+    def of(lengths: list[int], weights: list[int]) -> Levels:
+        return Levels(sorted((n / w, n, w) for n, w in zip(lengths, weights, strict=True)))
+
+    def level(self, tokens: int) -> int:
+        """The level when that many tokens are served."""
+        if tokens >= self.tokens[-1]:
+            return self.x[-1]
+        k = bisect_right(self.tokens, tokens) - 1
+        return self.x[k] + (tokens - self.tokens[k]) * (self.x[k + 1] - self.x[k]) // (self.tokens[k + 1] - self.tokens[k])
+
+    def reached(self, level: int) -> int:
+        """Least number of tokens at which the level is reached."""
+        k = bisect_left(self.x, level) - 1
+        return self.tokens[k] - (-(level - self.x[k]) * (self.tokens[k + 1] - self.tokens[k]) // (self.x[k + 1] - self.x[k]))
+
+
 class Schedule:
     """Closed form of the round-robin over queues of given lengths and integer weights."""
 
-    def __init__(self, lengths: list[int], weights: list[int], window: int, total: int | None = None):
+    def __init__(self, lengths: list[int], weights: list[int], window: int, levels: Levels | None = None):
         self.lengths, self.weights, self.window = lengths, weights, window
-        self.total = sum(weights) if total is None else total  # of all queues, where only some are given
+        self.levels = levels or Levels.of(lengths, weights)  # of all queues, where only some are given
+        self._bases: dict[int, list[int]] = {}
 
     def served(self, queue: int, windows: int) -> int:
         """Tokens that the queue has given to the first windows."""
-        return min(windows * self.window * self.weights[queue] // self.total, self.lengths[queue])
+        return min(self.levels.level(windows * self.window) * self.weights[queue] // UNIT, self.lengths[queue])
 
     def window_of(self, queue: int, token: int) -> int:
         """The window that serves the token: the least r with served(r + 1) > token."""
-        return -(-(token + 1) * self.total // (self.window * self.weights[queue])) - 1
+        return -(-self.levels.reached(-(-(token + 1) * UNIT // self.weights[queue])) // self.window) - 1
 
     def cuts(self, queue: int, start: int, stop: int):
         """(start, stop, window) of the stretches of queue tokens start..stop that one window serves."""
@@ -76,7 +124,33 @@ class Schedule:
 
     def base(self, queue: int, r: int) -> int:
         """Where the queue's stretch of window r begins: all earlier windows, then earlier queues in this one."""
-        return sum(self.served(q, r + (q < queue)) for q in range(len(self.lengths)))
+        if r not in self._bases:
+            if len(self._bases) >= 64:
+                self._bases.clear()
+            before = [self.served(q, r) for q in range(len(self.lengths))]
+            sums, at = [], sum(before)
+            for q, n in enumerate(before):
+                sums.append(at)
+                at += self.served(q, r + 1) - n
+            self._bases[r] = sums
+        return self._bases[r][queue]
+
+
+def weighed(totals: DataFrame, targets: dict[str, int] | None, temperature: float) -> DataFrame:
+    """(queue, n, weight) of (queue, n): weights are positive whole numbers."""
+    if targets is None:
+        return totals.withColumn("weight", F.greatest(F.lit(1), F.round(F.pow("n", F.lit(float(temperature)))).cast("long")))
+    given = totals.sparkSession.createDataFrame([(k, max(1, int(w))) for k, w in targets.items()], "name string, weight long")
+    return totals.join(given, F.substring("queue", 2, 1 << 30) == F.col("name"), "left").drop("name").fillna(1, ["weight"])
+
+
+def levels_of(shares: DataFrame) -> Levels:
+    """Knots of (queue, n, weight): a row for each group of queues that run dry at about the same level."""
+    level = F.col("n") / F.col("weight")
+    groups = shares.groupBy(F.floor(F.log2(level) * KNOTS).alias("g")).agg(
+        F.max(level).alias("level"), F.sum(F.col("n").cast("decimal(38,0)")).alias("n"), F.sum(F.col("weight").cast("decimal(38,0)")).alias("weight")
+    )
+    return Levels([(r.level, int(r.n), int(r.weight)) for r in groups.orderBy("g").collect()])
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -117,6 +191,7 @@ def pack(
     tokenizer_path: str,
     end_id: int,
     targets: dict[str, int] | None = None,
+    temperature: float = 1.0,
     sequence: int = SEQUENCE,
     window_sequences: int = WINDOW_SEQUENCES,
     id_col: str = "doc_id",
@@ -126,13 +201,16 @@ def pack(
 ) -> DataFrame:
     """Pieces: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, window (and ids if asked).
 
-    ``targets``: integer weights by source; sources that it lacks weigh 1.
+    ``targets``: integer weights by source; sources that it lacks weigh 1.  Without it a source weighs its size to
+    the power ``temperature``.
     """
     tokens = tokenise(docs, tokenizer_path, end_id, id_col, text_col, source_col)
     lengths = tokens.groupBy("part", "queue").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = stage(lengths.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "bases")
-    totals = bases.groupBy("queue").agg(F.sum("n").alias("n"))  # a row for each queue
+    # a row for each queue
+    shares = stage(weighed(bases.groupBy("queue").agg(F.sum("n").alias("n")), targets, temperature), "shares")
+    levels = levels_of(shares)
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window"] + ["ids"] * with_ids
     schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, `window` long"
@@ -157,8 +235,8 @@ def pack(
     places = bases.select("part", "queue", "base")
     rows = tokens.join(F.broadcast(places) if small else places, ["part", "queue"])
     rows = rows.select(id_col, "queue", (F.col("ahead") + F.col("base")).alias("at"), "n", "ids")
-    if totals.count() > MAX_QUEUES:
-        placed = _placed(rows, totals, targets, window, id_col)
+    if shares.count() > MAX_QUEUES:
+        placed = _placed(rows, shares, levels, window, id_col)
 
         def cut(batches):
             for batch in batches:
@@ -169,11 +247,9 @@ def pack(
 
         return placed.mapInArrow(cut, schema)
 
-    ordered = totals.orderBy("queue").collect()
+    ordered = shares.orderBy("queue").collect()
     queues = {r.queue: k for k, r in enumerate(ordered)}
-    sizes = [r.n for r in ordered]
-    weights = sizes if targets is None else [max(1, int(targets.get(r.queue[1:], 1))) for r in ordered]
-    plan = Schedule(sizes, weights, window)
+    plan = Schedule([r.n for r in ordered], [r.weight for r in ordered], window, levels)
 
     def run(batches):
         for batch in batches:
@@ -187,19 +263,12 @@ def pack(
     return rows.mapInArrow(run, schema)
 
 
-def _placed(rows: DataFrame, totals: DataFrame, targets: dict[str, int] | None, window: int, id_col: str) -> DataFrame:
+def _placed(rows: DataFrame, shares: DataFrame, levels: Levels, window: int, id_col: str) -> DataFrame:
     """(id_col, n, start in the document, place in the output, ids) of the stretches of documents that one window serves.
 
     A (window, queue) has at most ``window`` tokens, so no key of these joins is large.
     """
-    spark = rows.sparkSession
-    if targets is None:
-        shares = totals.withColumn("weight", F.col("n"))
-    else:
-        given = spark.createDataFrame([(k, max(1, int(w))) for k, w in targets.items()], "name string, weight long")
-        shares = totals.join(given, F.substring("queue", 2, 1 << 30) == F.col("name"), "left").drop("name").fillna(1, ["weight"])
-    shares = stage(shares.withColumnRenamed("n", "length"), "shares")
-    total = int(shares.agg(F.sum(F.col("weight").cast("decimal(38,0)"))).first()[0])
+    spark, shares = rows.sparkSession, shares.withColumnRenamed("n", "length")
     kind = rows.schema[id_col].dataType.simpleString()
     names = [id_col, "n", "start", "r", "queue", "within", "stretch", "ids"]
 
@@ -208,7 +277,7 @@ def _placed(rows: DataFrame, totals: DataFrame, targets: dict[str, int] | None,
             columns = batch.to_pydict()
             out = [[] for _ in names]
             for doc_id, queue, at, n, ids, length, weight in zip(*columns.values(), strict=True):
-                own = Schedule([length], [weight], window, total)
+                own = Schedule([length], [weight], window, levels)
                 for a, b, r in own.cuts(0, at, at + n):
                     before = own.served(0, r)
                     row = (doc_id, n, a - at, r, queue, a - before, own.served(0, r + 1) - before, ids[2 * (a - at) : 2 * (b - at)])

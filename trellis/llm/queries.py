@@ -46,10 +46,14 @@ def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+#: Sources weigh their size to this power, so that small ones have more than their share of a window.
+MIXTURE_TEMPERATURE = 0.7
+
+
 def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trellis.llm import packing
 
-    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, temperature=MIXTURE_TEMPERATURE)
 
 
 def op5_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
