@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.llm import bagminhash, packing, pii, toxicity
-from trellis.llm.queries import PII_KEY
+from trellis.llm.queries import MIXTURE_TEMPERATURE, PII_KEY
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences at the sources' token shares (operator 3)."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, temperature=MIXTURE_TEMPERATURE)
 
 
 STAGES = [
