@@ -228,13 +228,49 @@ def test_signatures_are_unbiased():
     assert abs(found - truth) < 4 * np.sqrt(truth * (1 - truth) / 2048)
 
 
-def test_least_agreement_follows_the_threshold():
-    assert bagminhash.least_agree(0.8) == 92 and bagminhash.least_agree(0.0) == 0 and bagminhash.least_agree(1.0) == bagminhash.SIZE
-    assert bagminhash.least_agree(0.7) < 80 and bagminhash.least_agree(0.6) < 65
+def test_unlike_texts_share_no_shingles():
+    bits = [bin(i).count("1") % 2 for i in range(2048)]  # Thue-Morse and its complement
+    texts = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    assert bagminhash.similarity(*map(bagminhash.shingles, texts)) == 0.0
+    assert bagminhash.similarity(*map(bagminhash.shingles, (" ".join(t) for t in texts))) > 0.9  # the same five-letter runs
+    rng = random.Random(1)
+    seen, text = {}, [rng.choice(["aa", "ab", "ba", "b", "aab", "a\u00e9"]) for _ in range(4000)]
+    hashes, counts = bagminhash.shingles(" ".join(text))
+    for i in range(len(text) - 4):
+        seen[tuple(text[i : i + 5])] = seen.get(tuple(text[i : i + 5]), 0) + 1
+    assert sorted(counts.tolist()) == sorted(seen.values()) and len(hashes) == len(seen)
+
+
+def test_links_between_blocks_are_exact():
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 1 << 62, 150).astype(np.uint64))
+    bags = []
+    for _ in range(60):
+        keep = base[rng.random(len(base)) < rng.choice([1, 0.95, 0.9, 0.6])]
+        bags.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 62, rng.integers(1, 25)).astype(np.uint64)])))
+    may = rng.random((25, 35)) < 0.9
+    got = set(zip(*(x.tolist() for x in bagminhash.links_between(bags[:25], bags[25:], may, 0.8)), strict=True))
+    share = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    assert got == {(i, k) for i in range(25) for k in range(35) if may[i, k] and share(bags[i], bags[25 + k]) >= 0.8} and len(got) > 20
+
+
+def brute_classes(rows):
+    """(row number to class root) by all pairs; rows are (id, text)."""
+    bags = [bagminhash.shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    find = lambda v: v if label[v] == v else find(label[v])
+    for i in range(len(rows)):
+        for k in range(i):
+            if len(bags[i][0]) and bagminhash.similarity(bags[i], bags[k]) >= 0.8:
+                a, b = find(i), find(k)
+                label[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(rows))]
 
 
-def test_classes_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(bagminhash, "FEW", 20)  # larger buckets take the path of blocks
+@pytest.mark.parametrize("block", [8, 512])
+def test_classes_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(bagminhash, "BLOCK_ROWS", block)
+    monkeypatch.setattr("trellis.llm.components.HOT_ROWS", block)
     rng = random.Random(7)
     rows, base = [], words(rng, 120).split()
     for i in range(160):
@@ -243,24 +279,20 @@ def test_classes_equal_brute_force(spark, monkeypatch):
             copy[rng.randrange(120)] = words(rng, 1)
         rows.append((i, " ".join(copy) if i < 80 else words(rng, rng.randint(1, 80))))
     rows += [(200, rows[100][1]), (201, rows[100][1].upper()), (202, None), (203, ""), (204, "  "), (205, "one two"), (206, "one  two"), (200, rows[100][1])]
-    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, node string").repartition(3)
-    bags = [bagminhash.shingles(t) for _, t in rows]
-    label = list(range(len(rows)))
-    find = lambda v: v if label[v] == v else find(label[v])
-    for i in range(len(rows)):
-        for k in range(i):
-            if len(bags[i][0]) and bagminhash.similarity(bags[i], bags[k]) >= 0.8:
-                a, b = find(i), find(k)
-                label[max(a, b)] = min(a, b)
-    ids = {}
-    for i, (d, _) in enumerate(rows):
-        ids.setdefault(find(i), []).append(d)
-    expected = sorted((d, min(ids[find(i)])) for i, (d, _) in enumerate(rows))
+    rows += [(5, rows[120][1]), (None, rows[121][1]), (None, rows[130][1] + " x"), (None, "null alone"), (204, "\t")] + [(300 + i, "many same") for i in range(30)]
+    docs = spark.createDataFrame([(*r, "x", i) for i, r in enumerate(rows)], "doc_id long, text string, same_node string, kept_id int").repartition(3)
+    roots, ids = brute_classes(rows), {}
+    for (d, t), r in zip(rows, roots, strict=True):
+        ids.setdefault(r, []).append(d)
+    least = lambda r: min((d for d in ids[r] if d is not None), default=None)
+    expected = sorted(((d, least(r), len(ids[r])) for (d, _), r in zip(rows, roots, strict=True)), key=str)
     got = bagminhash.classes(docs)
-    assert sorted((r.doc_id, r.class_id) for r in got.collect()) == expected
-    kept = sorted(r.doc_id for r in bagminhash.keep_one(docs).collect())
-    assert kept == sorted({c for _, c in expected})
-    assert bagminhash.classes(docs.limit(0)).collect() == []
+    assert sorted(((r.doc_id, r.class_id, r.n_class) for r in got.collect()), key=str) == expected
+    out = bagminhash.keep_one(docs)
+    kept = sorted(r.kept_id for r in out.collect())
+    assert out.columns == docs.columns and [roots[i] for i in kept] == sorted(set(roots), key=[roots[i] for i in kept].index) and len(kept) == len(set(roots))
+    assert all(rows[i][0] == least(roots[i]) for i in kept)
+    assert bagminhash.classes(docs.limit(0)).collect() == [] and bagminhash.keep_one(docs.limit(0)).collect() == []
 
 
 # operator 9

@@ -10,48 +10,46 @@ Two documents agree in a component with probability equal to their weighted Jacc
 similarity, without bias, for all integer counts.  Only points before a horizon are made,
 set so that every component surely has one; where one has none the horizon doubles.
 
-Signatures are cut into bands.  Equal texts are one node from the start.  In each bucket
-of a band all nodes are compared with the one that meets most others in all its buckets (the pivot) by the exact multiset
-similarity, a number of pairs linear in the bucket.  What a pivot did not catch is found
-exactly: similarity distance is a metric, so a node y farther than 1 - t from the pivot
-links only with nodes x of the bucket with |d(x, pivot) - d(y, pivot)| <= 1 - t, and only
-pairs in different components can change the result; those pairs are compared too.
-Classes are connected components of links.  Every link is verified, no bucket is
-capped; in large buckets only pairs whose signatures agree in ``least_agree`` components are.
+Signatures are cut into bands.  Equal texts (by 128 bits of SHA-256) are one node from the
+start.  In each bucket of a band all nodes are compared with the one that meets most others in
+all its buckets (the pivot) by the exact multiset similarity, a number of pairs linear in the
+bucket.  What a pivot did not catch is found exactly as well: within a pivot's group, a node y
+farther than 1 - t from the pivot is compared with all nodes x of other components, block by
+block, save pairs that cannot reach t by a bound that is always true: similarity distance is a
+metric, so |d(x, pivot) - d(y, pivot)| <= 1 - t for a link, and what y shares with x is at most
+what y shares with all nodes of x's block together.  No pair is judged by its signature alone,
+and groups of all sizes take the same way.  Classes are connected components of links.
+
+Elements are keyed 64-bit hashes of five words, each word by its own hash, mixed step by step,
+so no structure of a text makes unlike shingles equal (by chance: one pair in 2^64).
 
 Defined results: null and empty texts, or texts of white space only, are no copies of
 anything, also not of each other; a class's id is its smallest doc_id; rows that repeat a
-doc_id are alike; a null doc_id never is a class's id while the class has another.
+doc_id are judged by their own texts; a null doc_id never is a class's id while the class has
+another; a very long text is one multiset in a worker's memory, eight bytes a word.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.components import connected
-from trellis.llm.scratch import stage, tuned
+from trellis.llm.chunks import _Memo
+from trellis.llm.components import connected, spread_join
+from trellis.llm.scratch import free_name, stage, tuned
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 28, 5
 SIZE = BANDS * ROWS
-#: Pairs of a bucket up to which they are joined.
-FEW = 1024
-#: Bytes of the bags that a block of a larger bucket holds, about.
-BLOCK_BYTES = 32 << 20
+#: Rows of a block, and the bytes of its bags, about.
+BLOCK_ROWS, BLOCK_BYTES = 512, 16 << 20
+#: Key of the word hashes.
+SEED = 0x5DEECE66D
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
-
-
-def least_agree(threshold: float) -> int:
-    """Components that a link's signatures agree in at least: 4.2 standard deviations under the mean."""
-    return max(0, int(SIZE * threshold - 4.2 * (SIZE * threshold * (1 - threshold)) ** 0.5))
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -59,30 +57,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _tables(n: int) -> None:
-    """Powers of the base and of its inverse modulo 2^64."""
-    global _powers, _inverse
-    if len(_powers) < n:
-        n = max(n, 2 * len(_powers), 1 << 17)
-        back = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        _powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, _BASE))])
-        _inverse = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, back))])
+_word_hash = _Memo(lambda word: xxhash.xxh3_64_intdigest(word.encode("utf-8"), SEED), 400_000)
 
 
 def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, ascending, and their counts."""
-    data = np.frombuffer(" ".join((text or "").lower().split()).encode("utf-8"), np.uint8)
-    if not len(data):
+    words = (text or "").lower().split()
+    if not words:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    _tables(len(data) + 1)
-    total = np.concatenate([[np.uint64(0)], np.cumsum((data + np.uint64(1)) * _powers[: len(data)])])
-    gaps = np.flatnonzero(data == 32)
-    starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(data)]])
-    if len(starts) > WORDS:
-        starts, ends = starts[: -WORDS + 1], ends[WORDS - 1 :]
-    else:
-        starts, ends = starts[:1], ends[-1:]
-    hashes = _mix((total[ends] - total[starts]) * _inverse[starts] + (ends - starts).astype(np.uint64))
+    each = np.fromiter(map(_word_hash.__getitem__, words), np.uint64, len(words))
+    span = min(WORDS, len(words))
+    hashes = np.full(len(words) - span + 1, np.uint64(span))
+    for k in range(span):
+        hashes = _mix(hashes * _BASE + each[k : len(words) - span + 1 + k])
     return np.unique(hashes, return_counts=True)
 
 
@@ -146,46 +133,56 @@ def band_keys(values: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
+
+
 def _sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Staged (id, node, bands, short) of each row: a node is the digest of a text, ``short`` a byte of each component."""
+    """Staged (id, node, bands) of each row: a node is the digest of a text."""
 
     def run(batches):
         for batch in batches:
-            keys, short = [], []
+            keys = []
             for text in batch.column(2):
                 bag = shingles(text.as_py())
-                values = signature(bag) if len(bag[0]) else None
-                keys.append([] if values is None else band_keys(values).tolist())
-                short.append(None if values is None else values.astype(np.uint8).tobytes())
-            columns = [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "node", "bands", "short"])
+                keys.append(band_keys(signature(bag)).tolist() if len(bag[0]) else [])
+            columns = [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "node", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(text_col, F.lit("")))).alias("node"), text_col)
-    return stage(rows.mapInArrow(run, f"id {kind}, node binary, bands array<long>, short binary"), "signatures")
+    rows = docs.select(F.col(id_col).alias("id"), _digest(F.col(text_col)).alias("node"), text_col)
+    return stage(rows.mapInArrow(run, f"id {kind}, node binary, bands array<long>"), "signatures")
+
 
+def _judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Staged (a, b, j) of pairs of a pivot and a node, j the exact similarity.
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Staged (a, b, j) of pairs of nodes, j the exact similarity (null below ``least``)."""
+    A pivot's text goes once to each block of its nodes; a worker holds one pivot at a time.
+    """
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"), F.count(F.lit(1)).alias("c"))
+    blocks = stage(blocks, "pivots")
+    dealt = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("s")
+    members = spread_join(pairs, blocks, "a", pairs.count()).select("a", dealt, "b")
+    members = members.join(texts.select(F.col("node").alias("b"), "text"), "b").select("a", "s", "b", "text")
+    pivots = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("s"))
+    pivots = pivots.join(texts.select(F.col("node").alias("a"), "text"), "a").select("a", "s", F.lit(None).cast("binary").alias("b"), "text")
 
     def run(batches):
-        known: dict[str, tuple] = {}
+        pivot, bag = None, None
         for batch in batches:
-            out = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                bags = []
-                for text in (a.as_py(), b.as_py()):
-                    if text not in known:
-                        if len(known) > 64:
-                            known.clear()
-                        known[text] = shingles(text)
-                    bags.append(known[text])
-                out.append(similarity(*bags))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "j"])
-
-    sides = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    sides = sides.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-    return stage(sides.mapInArrow(run, "a binary, b binary, j double"), "verified").where(F.col("j") >= least)
+            out = [[], [], []]
+            for a, s, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if b is None:
+                    pivot, bag = (a, s), shingles(text.as_py())
+                    continue
+                if pivot != (a, s):
+                    raise ValueError("a node came before its pivot")
+                for column, value in zip(out, (a, b, similarity(bag, shingles(text.as_py()))), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.binary(), pa.float64()), strict=True)], ["a", "b", "j"])
+
+    rows = pivots.unionByName(members).repartition("a", "s").sortWithinPartitions("a", "s", F.col("b").asc_nulls_first())
+    return stage(rows.mapInArrow(run, "a binary, b binary, j double"), "judged")
 
 
 def _bags(texts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -196,133 +193,147 @@ def _bags(texts: DataFrame, nodes: DataFrame) -> DataFrame:
             bags = []
             for text in batch.column(1):
                 hashes, counts = shingles(text.as_py())
-                copy = np.concatenate([np.arange(c) for c in counts]).astype(np.uint64)
-                bags.append(np.sort(_mix(np.repeat(hashes, counts) + copy * _BASE)).tobytes())
+                copy = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                bags.append(np.sort(_mix(np.repeat(hashes, counts) + copy.astype(np.uint64) * _BASE)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary())], ["node", "bag"])
 
     rows = texts.select("node", "text").join(nodes.distinct(), "node", "left_semi")
     return stage(rows.mapInArrow(run, "node binary, bag binary"), "bags")
 
 
-def _remaining(judged: DataFrame, shorts: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Pairs of a bucket, not both near its pivot, that can link different components: (a, b) to verify, and verified ones.
-
-    Buckets of few such pairs are joined.  Of larger ones, blocks of signatures and bags
-    are compared in memory: pairs that agree in ``least_agree`` components are verified
-    there (links agree in fewer with a probability below that of sharing no band), and
-    only links leave the task.
+def links_between(ys: list[np.ndarray], xs: list[np.ndarray], may: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (y, x) of ascending bags with similarity of at least ``threshold`` among those that ``may`` allows."""
+    sizes = [np.array([len(b) for b in bags]) for bags in (ys, xs)]
+    flat = [np.concatenate(bags) for bags in (ys, xs)]
+    # elements that the other block holds at all: no bag shares more than these
+    held = []
+    for own, other, n in ((flat[0], flat[1], sizes[0]), (flat[1], flat[0], sizes[1])):
+        pool = np.unique(other)
+        at = np.minimum(np.searchsorted(pool, own), len(pool) - 1)
+        held.append(np.add.reduceat((pool[at] == own).astype(np.int64), np.cumsum(n) - n))
+    shared = np.minimum(held[0][:, None], held[1][None, :])
+    may = may & (shared >= threshold * (sizes[0][:, None] + sizes[1][None, :] - shared))
+    begins, out = np.cumsum(sizes[1]) - sizes[1], []
+    for k in np.flatnonzero(may.any(1)):
+        own, hits = ys[k], np.flatnonzero(may[k])
+        elements = flat[1] if 2 * len(hits) > len(xs) else np.concatenate([xs[h] for h in hits])
+        n = sizes[1] if elements is flat[1] else sizes[1][hits]
+        place = np.minimum(np.searchsorted(own, elements), len(own) - 1)
+        both = np.add.reduceat((own[place] == elements).astype(np.int64), begins if elements is flat[1] else np.cumsum(n) - n)
+        both = both[hits] if elements is flat[1] else both
+        near = hits[both >= threshold * (sizes[1][hits] + len(own) - both)]
+        out.append((np.full(len(near), k), near))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+
+def _remaining(judged: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Staged links (a, b) between different components within a pivot's group that its pivot did not catch.
+
+    ``judged``: (a pivot, node, j, label).  Only links leave a task.
     """
-    far, least = F.col("j") < threshold, least_agree(threshold)
-    sizes = judged.groupBy("key").agg(F.count_if(far).alias("l"), F.count(F.lit(1)).alias("m"), F.min("label").alias("x"), F.max("label").alias("y"))
-    sizes = stage(sizes.where("l > 0 and x <> y").select("key", "l", "m"), "sizes")
-    rows = judged.join(sizes, "key")
-    few = rows.where(F.col("l") * F.col("m") <= FEW)
-    left, right = few.where(far).alias("y"), few.alias("x")
-    close = (F.abs(F.col("y.j") - F.col("x.j")) <= 1 - threshold + 1e-9) & (F.col("y.label") != F.col("x.label"))
-    once = (F.col("x.j") >= threshold) | (F.col("x.node") < F.col("y.node"))
-    pairs = left.join(right, F.col("x.key") == F.col("y.key")).where(close & once).select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
-    many = rows.where(F.col("l") * F.col("m") > FEW).join(shorts, "node")
-    many = stage(many.join(_bags(texts, many.select("node")), "node"), "many")
-    weights = many.groupBy("key").agg(F.sum(F.octet_length("bag")).alias("w"))
-    blocks = lambda of, size: F.ceil(F.greatest(F.col(of) / size, F.col("w") / BLOCK_BYTES)).cast("int")
-    dealt = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    columns = ["node", "j", "label", "short", "bag"]
-    many = many.join(weights, "key")
-    ones = many.where(far).select("key", dealt(1, blocks("l", 512)).alias("p"), upto(blocks("m", 2048)).alias("q"), *columns)
+    far = F.col("j") < threshold
+    sizes = judged.groupBy("a").agg(
+        F.count_if(far).alias("l"), F.count(F.lit(1)).alias("c"), F.min("label").alias("x"), F.max("label").alias("y")
+    )
+    sizes = stage(sizes.where("l > 0 and x <> y").select("a", "l", "c"), "sizes")
+    rows = spread_join(judged, sizes.select("a", "c"), "a", judged.count())
+    rows = stage(rows.join(_bags(texts, rows.select("node")), "node"), "bagged")
+    sizes = sizes.join(rows.groupBy("a").agg(F.sum(F.octet_length("bag")).alias("w")), "a")
+    blocks = lambda of: F.ceil(F.greatest(F.col(of) / BLOCK_ROWS, F.col("w") / BLOCK_BYTES)).cast("int")
+    sizes = stage(sizes.select("a", "c", blocks("l").alias("ps"), blocks("c").alias("qs")), "blocks")
+    rows = spread_join(rows, sizes, "a", rows.count())
+    dealt = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["node", "j", "label", "bag"]
+    ones = rows.where(far).select("a", dealt(1, "ps").alias("p"), upto("qs").alias("q"), *columns)
     again = [F.col(c).alias(c) for c in columns]  # columns of its own: both sides come from one table
-    others = many.select(F.col("key").alias("key"), upto(blocks("l", 512)).alias("p"), dealt(2, blocks("m", 2048)).alias("q"), *again)
+    others = rows.select(F.col("a").alias("a"), upto("ps").alias("p"), dealt(2, "qs").alias("q"), *again)
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
-    def side(t: pa.Table) -> tuple:
-        short = np.frombuffer(b"".join(t["short"].to_pylist()), np.uint8).reshape(len(t), -1)
-        bags = [np.frombuffer(b, np.uint64) for b in t["bag"].to_pylist()]
-        return np.array(t["node"].to_pylist(), object), t["j"].to_numpy(), np.array(t["label"].to_pylist(), object), short, bags
-
     def compare(y: pa.Table, x: pa.Table) -> pa.Table:
-        out_a, out_b = [], []
-        if len(y) and len(x):
-            (nodes, j, labels, ys, ybags), (other, i, marks, xs, xbags) = side(y), side(x)
-            sizes = np.array([len(b) for b in xbags])
-            for k, own in enumerate(ybags):
-                may = np.flatnonzero((np.abs(i - j[k]) <= 1 - threshold + 1e-9) & (marks != labels[k]))
-                hits = may[(xs[may] == ys[k]).sum(1) >= least]
-                if not len(hits):
-                    continue
-                elements = np.concatenate([xbags[h] for h in hits])
-                place = np.minimum(np.searchsorted(own, elements), len(own) - 1)
-                shared = np.add.reduceat((own[place] == elements).astype(np.int64), np.cumsum(sizes[hits]) - sizes[hits])
-                near = hits[shared >= threshold * (sizes[hits] + len(own) - shared)]
-                out_a += [nodes[k]] * len(near)
-                out_b += list(other[near])
-        return pa.Table.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], schema=schema)
-
-    by = ["key", "p", "q"]
-    hot = ones.groupBy(*by).cogroup(others.groupBy(*by)).applyInArrow(compare, "a binary, b binary")
-    tidy = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return stage(tidy(pairs), "remaining"), stage(tidy(hot), "hot")
-
-
-def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, class_id, n_class, kept): a row for each row of ``docs``; kept where it is its class's id."""
+        if not len(y) or not len(x):
+            return schema.empty_table()
+        i, j = y["j"].to_numpy(), x["j"].to_numpy()
+        marks, known = [], {}
+        for t in (y, x):
+            marks.append(np.array([known.setdefault(v, len(known)) for v in t["label"].to_pylist()]))
+        may = (np.abs(i[:, None] - j[None, :]) <= 1 - threshold + 1e-9) & (marks[0][:, None] != marks[1][None, :])
+        bags = [[np.frombuffer(b, np.uint64) for b in t["bag"].to_pylist()] for t in (y, x)]
+        k, h = links_between(*bags, may, threshold)
+        return pa.Table.from_arrays([y["node"].combine_chunks().take(pa.array(k)), x["node"].combine_chunks().take(pa.array(h))], schema=schema)
+
+    by = ["a", "p", "q"]
+    found = ones.groupBy(*by).cogroup(others.groupBy(*by)).applyInArrow(compare, "a binary, b binary")
+    return stage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "remaining")
+
+
+def _classified(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, node, empty, class_id, first node of the class's id, n_class) of each row."""
     tuned(docs.sparkSession)
     signed = _sign(docs, id_col, text_col)
     # nodes: equal texts, with the id that stands for them
-    nodes = signed.groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    banded = signed.where(F.size("bands") > 0)
-    keys = banded.join(nodes.select("node", F.col("rep").alias("id")), ["node", "id"], "left_semi").dropDuplicates(["node"])
-    shorts = keys.select("node", "short")
-    keys = keys.select("node", F.explode("bands").alias("key"))
+    nodes = stage(signed.groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")), "nodes")
+    keys = signed.where(F.size("bands") > 0).dropDuplicates(["node"]).select("node", F.explode("bands").alias("key"))
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = stage(keys.join(counts, "key"), "shared")
     # the node that meets most others is the pivot: of near copies that is the text they were made from
     score = shared.groupBy("node").agg(F.sum("c").alias("score"))
     shared = shared.join(score, "node").select("key", "node", "score")
-    pivots = shared.groupBy("key").agg(F.max(F.struct("score", "node")).alias("top")).select("key", F.col("top.node").alias("pivot"))
-    members = stage(shared.join(pivots, "key").select("key", "node", "pivot"), "members")
+    pivots = shared.groupBy("key").agg(F.max(F.struct("score", "node")).alias("top"), F.count(F.lit(1)).alias("c"))
+    pivots = pivots.select("key", F.col("top.node").alias("pivot"), "c")
+    members = spread_join(shared.select("key", "node"), pivots, "key", signed.count())
     pairs = stage(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node")
-    text = docs.select(
-        F.unhex(F.md5(F.coalesce(text_col, F.lit("")))).alias("node"), F.col(id_col).alias("rep"), F.col(text_col).alias("text")
-    )
-    texts = stage(text.join(wanted, ["node", "rep"], "left_semi").dropDuplicates(["node"]), "texts")
-    near = _verified(pairs, texts, 0.0)
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node")
+    wanted = wanted.select(F.col("node").alias("wanted"), F.col("rep").alias("by"))
+    text = docs.select(_digest(F.col(text_col)).alias("node"), F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
+    # of equal texts one row is shuffled, that with the smallest id
+    one = (F.col("node") == F.col("wanted")) & F.col("rep").eqNullSafe(F.col("by"))
+    texts = stage(text.join(wanted, one, "left_semi").dropDuplicates(["node"]), "texts")
+    near = _judged(pairs, texts)
     links = near.where(F.col("j") >= threshold).select("a", "b")
     # what the pivots did not catch
-    label = connected(links)
-    judged = members.where("node <> pivot").join(near, [members["pivot"] == near["a"], members["node"] == near["b"]]).select("key", "node", "j")
-    judged = judged.join(label.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    judged = stage(judged, "judged")
-    rest, hot = _remaining(judged, shorts, texts, threshold)
-    more = _verified(rest, texts, threshold).select("a", "b").unionByName(hot)
-    roots = connected(links.unionByName(more))
-    ids = roots.join(nodes, "node").groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n").alias("n_class"))
-    member = roots.join(ids, "root").select("node", "class_id", "n_class")
-    own = nodes.join(member.withColumnsRenamed({"class_id": "c", "n_class": "m"}), "node", "left")
-    own = own.select("node", F.coalesce("c", "rep").alias("class_id"), F.coalesce("m", "n").alias("n_class"))
-    empty = F.size("bands") == 0
-    out = signed.join(own, "node").select(
+    label = connected(links).select(F.col("node").alias("b"), F.col("root").alias("label"))
+    judged = near.join(label, "b", "left").select("a", F.col("b").alias("node"), "j", F.coalesce("label", "b").alias("label"))
+    more = _remaining(stage(judged, "labelled"), texts, threshold)
+    roots = stage(connected(links.unionByName(more)), "roots")
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node"))
+    ids = roots.join(nodes, "node").groupBy("root").agg(first.alias("first"), F.sum("c").alias("n_class"), F.count(F.lit(1)).alias("c"))
+    ids = ids.select("root", F.col("first.rep").alias("class_id"), F.col("first.node").alias("first"), "n_class", "c")
+    member = spread_join(roots, stage(ids, "classes"), "root", roots.count()).select("node", "class_id", "first", "n_class")
+    own = nodes.join(member.withColumnsRenamed({"class_id": "i", "first": "f", "n_class": "n"}), "node", "left")
+    alone = F.col("f").isNull()
+    own = own.select(
+        "node", F.when(alone, F.col("rep")).otherwise(F.col("i")).alias("class_id"), F.coalesce("f", "node").alias("first"), F.coalesce("n", "c").alias("n_class"), "c"
+    )
+    rows = signed.select("id", "node", (F.size("bands") == 0).alias("empty"))
+    return spread_join(rows, stage(own, "own"), "node", signed.count())
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, class_id, n_class, kept): a row for each row of ``docs``; kept where it is its class's id."""
+    out = _classified(docs, threshold, id_col, text_col).select(
         F.col("id").alias(id_col),
-        F.when(empty, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(empty, 1).otherwise(F.col("n_class")).alias("n_class"),
+        F.when(F.col("empty"), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(F.col("empty"), 1).otherwise(F.col("n_class")).alias("n_class"),
     )
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("class_id")))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class, all columns as they are.
-
-    Rows that repeat a kept doc_id are one class as well if their texts are equal or
-    near; of such rows one stays.
+    """``docs`` with one row of each class, all columns as they are: a row with the class's id and, of several texts
+    with that id, the first by its digest.  Rows without text all stay.
     """
-    kept = stage(classes(docs, threshold, id_col, text_col).where("kept").select(F.col(id_col).alias("kept_id"), "class_id"), "kept")
-    ids = kept.groupBy("kept_id").agg(F.count(F.lit(1)).alias("rows"))
-    out = docs.join(ids.select("kept_id"), docs[id_col].eqNullSafe(F.col("kept_id")), "left_semi")
-    if ids.where("rows > 1").isEmpty():
-        return out
-    # only repeated ids are gathered, so that texts are compared within an id
-    once = out.join(ids.where("rows > 1").select("kept_id"), out[id_col].eqNullSafe(F.col("kept_id")), "left_anti")
-    again = out.join(ids.where("rows > 1").select("kept_id"), out[id_col].eqNullSafe(F.col("kept_id")), "left_semi")
-    key = F.when(F.trim(F.coalesce(text_col, F.lit(""))) == "", F.uuid()).otherwise(F.md5(text_col))
-    return once.unionByName(again.withColumn("repeat_key", key).dropDuplicates([id_col, "repeat_key"]).drop("repeat_key"))
-
+    rows = _classified(docs, threshold, id_col, text_col)
+    first = (F.col("node") == F.col("first")) & F.col("id").eqNullSafe(F.col("class_id"))
+    keys = rows.where(F.col("empty") | first).groupBy(F.col("id").alias("kept_id"), F.col("node").alias("kept_node"), "empty")
+    kept = stage(keys.agg(F.count(F.lit(1)).alias("rows")), "kept")
+    i, n = (free_name(docs.columns, c) for c in ("same_id", "same_node"))
+    keyed = docs.withColumn(n, _digest(F.col(text_col))).withColumn(i, F.col(id_col))
+    same = keyed[i].eqNullSafe(kept["kept_id"]) & (keyed[n] == kept["kept_node"])
+    keep = lambda condition: keyed.join(kept.where(condition).select("kept_id", "kept_node"), same, "left_semi")
+    out = keep("empty or rows = 1")
+    if not kept.where("not empty and rows > 1").isEmpty():
+        out = out.unionByName(keep("not empty and rows > 1").dropDuplicates([i, n]))
+    return out.drop(i, n)

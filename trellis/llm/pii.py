@@ -33,6 +33,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trellis.llm.scratch import free_name
+
 ROUNDS = 8
 # Repeats are possessive or bounded (a domain has 127 labels at most): the engine's stack and steps don't grow with the text.
 EMAIL = r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]{0,63}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){0,125}\.[A-Za-z]{2,24}+(?![\w-])"
@@ -182,7 +184,7 @@ def _among_numbers(out: DataFrame, key: str, rest_col: str) -> DataFrame:
 
     Each step is a column of its own, so that none is computed twice.
     """
-    names = {n: _taken(out.columns, f"pii_{n}") for n in ("spans", "joined", "cards", "others")}
+    names = {n: free_name(out.columns, f"pii_{n}") for n in ("spans", "joined", "cards", "others")}
     rest, c = F.col(rest_col), lambda n: F.col(names[n])
     tokens, pieces = rest["tokens"], rest["pieces"]
     some = lambda x: F.when(rest.isNotNull(), x)
@@ -307,15 +309,9 @@ def pseudonym(key: str, s: Column) -> Column:
     return F.coalesce(new, s)
 
 
-def _taken(names: list[str], wanted: str) -> str:
-    while wanted.lower() in {n.lower() for n in names}:
-        wanted += "_"
-    return wanted
-
-
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with pseudonyms in ``text_col`` (and, if named, the number of values replaced in ``count_col``)."""
-    found_col, made_col, rest_col = (_taken(docs.columns, n) for n in ("pii_found", "pii_made", "pii_rest"))
+    found_col, made_col, rest_col = (free_name(docs.columns, n) for n in ("pii_found", "pii_made", "pii_rest"))
     text, groups = F.col(text_col), f"{_OTHERS}|{GROUP}"
     # every pattern needs a digit or an @
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))

@@ -18,9 +18,11 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder only where it is unset."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a local folder if all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="trellis-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -42,6 +44,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(names: list[str], wanted: str) -> str:
+    """``wanted``, lengthened while a column has that name."""
+    while wanted.lower() in {n.lower() for n in names}:
+        wanted += "_"
+    return wanted
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store through Hadoop's file system."""
     jvm = spark.sparkContext._jvm
