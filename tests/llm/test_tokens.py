@@ -78,6 +78,27 @@ def test_elias_fano_select():
             assert len(coded.to_bytes()) * 8 < n * (2 + np.log2(top / n) + 2)
 
 
+def test_byte_level_merges_equal_the_library():
+    from trellis.llm.vocab import ByteLevelEncoder, _byte_chars
+
+    coder, library, rng = ByteLevelEncoder(BYTE), Tokenizer.from_file(BYTE), random.Random(9)
+    for k in range(20_000):
+        piece = "".join(rng.choice("etaoinsrhldcuéß日 ABC'.,0 ") for _ in range(rng.randint(1, 30)))
+        expected = library.encode(piece, add_special_tokens=False).ids
+        assert coder.encode(piece) == np.array(expected, "<u2").tobytes(), piece
+    assert len(_byte_chars()) == 256
+
+
+def test_word_chunks_equal_the_library():
+    from trellis.llm.vocab import WordEncoder
+
+    coder, library, rng = WordEncoder(WORD), Tokenizer.from_file(WORD), random.Random(4)
+    alphabet = "etaoinsr'tsdlmEé\u0301ßÿ日0129.,;:!?()-_&\x00\x1c\x7f\x85\u00a0\t\n   "
+    for _ in range(20_000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 25)))
+        assert coder.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u2").tobytes(), repr(text)
+
+
 def test_op10_round_trip(docs, spark):
     coder, start, expected = Tokenizer.from_file(BYTE), 0, []
     rows = sorted(docs.collect(), key=lambda r: r.doc_id)

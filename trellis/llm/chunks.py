@@ -12,9 +12,11 @@ from collections.abc import Callable
 
 import regex
 
-#: Entries of a worker's memo; it is emptied when full, so memory is bounded.
+#: Entries of a worker's memo, which keeps twice as many: memory is bounded.
 MEMO_CHUNKS = 400_000
-MEMO_PIECES = 200_000
+MEMO_PIECES = 100_000
+#: Longer keys are not kept.
+MEMO_LENGTH = 64
 
 
 class _Awkward(Exception):
@@ -22,13 +24,20 @@ class _Awkward(Exception):
 
 
 class _Memo(dict):
+    """Values by key, made when missing.  A full memo becomes the old one, and what is asked for again is taken over."""
+
     def __init__(self, make: Callable, limit: int):
         super().__init__()
-        self._make, self._limit = make, limit
+        self._make, self._limit, self._old = make, limit, {}
 
     def __missing__(self, key):
-        value = self._make(key)
+        value = self._old.get(key)
+        if value is None:
+            value = self._make(key)
+        if len(key) > MEMO_LENGTH:
+            return value
         if len(self) >= self._limit:
+            self._old = dict(self)
             self.clear()
         self[key] = value
         return value

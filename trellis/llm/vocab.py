@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from array import array
 
+import tiktoken
 from tokenizers import Tokenizer
 
-from trellis.llm.chunks import MEMO_CHUNKS, PatternEncoder, _Memo
+from trellis.llm.chunks import MEMO_CHUNKS, MEMO_PIECES, PatternEncoder, _Memo
 
 #: Pattern of the library's byte-level pre-tokenizer (fixed value of the format).
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -44,12 +46,12 @@ class ByteLevelEncoder(_Whole):
 
     def __init__(self, path: str):
         super().__init__(path)
-        model, table = self._whole.model, _byte_chars()
-
-        def piece(text: str) -> tuple:
-            return tuple(t.id for t in model.tokenize(text.encode("utf-8").decode("latin-1").translate(table)))
-
-        self._encoder = PatternEncoder(BYTE_LEVEL_PATTERN, piece, _bytes_of)
+        back = {c: b for b, c in _byte_chars().items()}
+        vocabulary = self._whole.get_vocab(with_added_tokens=False)
+        # ids rise with the merges, so they are the ranks of a merge table; tests compare both libraries
+        ranks = {bytes(back[c] for c in token): i for token, i in vocabulary.items() if token not in self._added}
+        merge = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self._encoder = PatternEncoder(BYTE_LEVEL_PATTERN, lambda text: merge(text.encode("utf-8")), _bytes_of)
 
     def encode(self, text: str) -> bytes:
         return b"".join(self._encoder.parts(text)) if self._plain(text) else self._library(text)
@@ -58,9 +60,9 @@ class ByteLevelEncoder(_Whole):
 class WordEncoder(_Whole):
     """Little-endian 16-bit ids by a word-level BPE file that lowers case and drops white space.
 
-    Cutting at spaces is safe as no word holds one.  Words of Latin letters, with
-    or without a mark after them, go straight to the model; all else goes through
-    the whole tokenizer.
+    Cutting at spaces is safe as no word holds one.  ASCII chunks are cut by the
+    file's pattern here, words of Latin letters, with or without a mark after them, go
+    straight to the model; all else goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -68,16 +70,21 @@ class WordEncoder(_Whole):
         model, table, rest = self._whole.model, _byte_chars(), self._library
 
         def piece(text: str) -> bytes:
-            return _bytes_of([t.id for t in model.tokenize(text.lower().encode("utf-8").decode("latin-1").translate(table))])
+            symbols = text if text.isascii() else text.encode("utf-8").decode("latin-1").translate(table)
+            return _bytes_of([t.id for t in model.tokenize(symbols)])
 
-        marks = {m: rest(m) for m in PatternEncoder.MARKS}
+        pieces = _Memo(piece, MEMO_PIECES)
+        find = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9]+").findall
 
         def chunk(text: str) -> bytes:
+            if text.isascii():
+                low = text.lower()
+                # printable ASCII bytes are their own symbols
+                return piece(low) if low.isalpha() else b"".join([pieces[p] if p.isprintable() else rest(p) for p in find(low)])
             # letters up to U+00FF are composed and lower one to one
-            if text.isalpha() and max(text) <= "ÿ":
-                return piece(text)
-            if text[-1:] in marks and text[:-1].isalpha() and max(text) <= "ÿ":
-                return self._chunks[text[:-1]] + marks[text[-1]]
+            stem = text[:-1] if text[-1:] in PatternEncoder.MARKS else text
+            if stem.isalpha() and max(stem) <= "ÿ":
+                return piece(stem.lower()) if stem is text else self._chunks[stem] + pieces[text[-1]]
             return rest(text)
 
         self._chunks = _Memo(chunk, MEMO_CHUNKS)
