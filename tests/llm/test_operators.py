@@ -126,7 +126,9 @@ def vectors(spark):
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int").repartition(4), x
 
 
-def test_collision_counting_recall(vectors):
+@pytest.mark.parametrize("block", [90, 32768])
+def test_collision_counting_recall(vectors, monkeypatch, block):
+    monkeypatch.setattr(ann, "ROW_BLOCK", block)
     df, x = vectors
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     got = ann.search(df, F.col("vec_id") % 50 == 0, 5).collect()
@@ -146,6 +148,29 @@ def test_collision_counting_recall(vectors):
     assert len(few) == 2 and ann.search(df.limit(0), F.lit(True), 5).collect() == []
 
 
+def test_collision_counting_verifies_few():
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((6000, 64))
+    arrays, unit = ann.Arrays(x, np.arange(6000), 5), x / np.linalg.norm(x, axis=1)[:, None]
+    queries, hits = np.arange(0, 6000, 100), 0
+    for a in range(0, 60, 16):
+        some = queries[a : a + 16]
+        for q, (rows, _) in zip(some, arrays.nearest(x[some], some), strict=True):
+            s = unit @ unit[q]
+            s[q] = -2
+            hits += len(set(rows.tolist()) & set(np.argsort(-s)[:5].tolist()))
+    assert hits >= 0.9 * 300 and arrays.verified <= 0.15 * 60 * 6000  # unclustered vectors are the hardest
+
+
+def test_collision_counting_with_repeats_and_ties(spark):
+    rows = [(50, [1.0, 2.0], 1), (50, [1.0, 2.0], 2), (50, [3.0, -1.0], 3), (7, [2.0, 4.0], 4), (3, [1.0, 2.0], 5), (9, [1.0], 6), (100, [2.0], 7)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int"), F.col("vec_id") % 50 == 0, 5)
+    out = {}
+    for r in sorted(got.collect(), key=lambda r: (r.query_id, r.rank)):
+        out.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert out[100] == [(1, 9)] and sorted(out[50]) == sorted([(1, 3), (2, 7), (3, 50), (4, 50)] * 2 + [(1, 3), (2, 7), (3, 50), (4, 50)])
+
+
 def test_product_quantisation_equals_brute_force(vectors):
     df, x = vectors
     unit = x / np.linalg.norm(x, axis=1)[:, None]

@@ -1,21 +1,24 @@
 """Operator 5: nearest neighbours by collision counting over single projections.
 
-Each block of rows keeps ``PROJECTIONS`` sorted arrays, one for each random direction.
-A query looks at a window around its own projection in every array.  At radius R the
-windows reach WIDTH * R to both sides; a vector within distance R of the query (both
-scaled to length 1) falls into a window with probability p = P(|N(0,1)| <= WIDTH), so
-one that collides in at least p * m - MARGIN standard deviations of the arrays is
-verified by its exact cosine.  Virtual rehashing multiplies R by GROWTH: windows only
-expand, so just the new elements are counted.  A query ends when its k-th best
-verified vector lies within R; the last radius covers the whole sphere.
-
-Rows are dealt by hash to blocks of bounded size, queries likewise; each pair of
-blocks is a task, and its k best of each query are merged.  Only vectors of equal
-length are compared.
-
-Defined results: null, zero or non-finite vectors take no part; equal scores are
-ordered by the smaller id; rows that share the query's id are never its neighbours;
-with fewer than k candidates all are returned.
+Rows are dealt by hash to blocks of bounded size; a block keeps ``PROJECTIONS`` sorted
+arrays, one for each random direction.  A query opens a window around its own projection in
+every array.  At radius R the windows reach WIDTH * R to both sides; a vector within distance
+R of the query (both scaled to length 1) falls into a window with probability
+p = P(|N(0,1)| <= WIDTH), so one that collides in at least p * m - MARGIN standard deviations
+of the m arrays is verified by its exact cosine.  Virtual rehashing expands the windows by the
+steps of GROWTH, in units of the distance at which a few rows of the block have their own k-th
+neighbours.  A query ends when its k-th best verified vector lies within R; the last
+radius covers the whole sphere.  Windows are intervals of ranks, so a batch of queries counts
+its collisions by comparing each array's ranks with the batch's intervals.
+
+A block is shuffled and indexed once, in a task that then streams the queries past it, a batch
+at a time: memory is a block and a batch, however many queries there are.  Each query visits
+each block and brings back k rows, which are merged.  Only vectors of equal length are compared.
+
+Defined results: null, zero or non-finite vectors take no part; equal scores are ordered by
+the smaller id; a row is its own query's neighbour never, but other rows may share its id or its
+vector; rows that repeat an id are queries of their own; with fewer than k candidates all are
+returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,57 +30,83 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellis.llm.scratch import tuned
+from trellis.llm.scratch import stage, tuned
 from trellis.llm.vectors import matrix, usable
 
-PROJECTIONS = 64
-WIDTH = 1.0
-MARGIN = 2.0
-FIRST_RADIUS, GROWTH = 0.35, 1.2
-ROW_BLOCK, QUERY_BLOCK = 16_384, 1024
+PROJECTIONS = 224
+WIDTH = 0.8
+MARGIN = 1.1
+#: Radii: steps around the distance of the k-th neighbours of some of the rows of the block, then the whole sphere.
+GROWTH = (0.95, 1.02, 1.08, 1.2, 1.5)
+ROW_BLOCK, QUERY_BATCH = 32_768, 16
+#: Rows of a block whose own neighbours set the scale of the radii.
+SCALE_ROWS = 32
 SEED = 7
 
 
 class Arrays:
     """Sorted projections of a block of vectors."""
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray):
-        self.vectors, self.ids = vectors, ids
-        self.norms = np.linalg.norm(vectors, axis=1)
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, k: int):
+        self.vectors, self.ids, self.k = vectors, ids, k
+        self.norms = np.sqrt((vectors * vectors).sum(1))
+        unit = vectors / self.norms[:, None]
         self.directions = np.random.default_rng(SEED).standard_normal((vectors.shape[1], PROJECTIONS))
-        places = (vectors / self.norms[:, None]) @ self.directions
-        self.order = np.argsort(places, axis=0, kind="stable").T.astype(np.int32).copy()
-        self.sorted = np.sort(places, axis=0).T.copy()
+        places = unit @ self.directions
+        order = np.argsort(places, axis=0, kind="stable").T
+        self.sorted = np.take_along_axis(places, order.T, axis=0).T.copy()
+        self.rank = np.empty(order.shape, np.uint16 if len(ids) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.rank, order, np.arange(len(ids), dtype=self.rank.dtype)[None, :], axis=1)
         p = math.erf(WIDTH / math.sqrt(2))
         self.threshold = max(1, math.floor(PROJECTIONS * p - MARGIN * math.sqrt(PROJECTIONS * p * (1 - p))))
-
-    def nearest(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the block and exact cosines of the k nearest found."""
-        n, norm = len(self.ids), np.linalg.norm(query)
-        centre = (query / norm) @ self.directions
-        counts, verified = np.zeros(n, np.int32), self.ids == own
-        low = high = np.array([np.searchsorted(row, c) for row, c in zip(self.sorted, centre, strict=True)])
-        rows, scores, radius = np.zeros(0, np.int64), np.zeros(0), FIRST_RADIUS
-        while True:
+        some = unit[:: max(1, len(ids) // SCALE_ROWS)][:SCALE_ROWS]
+        near = np.sort(some @ unit.T, axis=1)[:, -min(k + 1, len(ids))]
+        scale = float(np.median(np.sqrt(np.maximum(2 - 2 * near, 0))))
+        self.radii = [r for g in GROWTH if 0 < (r := scale * g) < 2] + [2.0]
+        self.verified = 0
+
+    def _counts(self, centres: np.ndarray, reach: float) -> np.ndarray:
+        """Arrays in which each row of the block lies in each query's window."""
+        low = np.array([np.searchsorted(row, c - reach, "left") for row, c in zip(self.sorted, centres.T, strict=True)])
+        high = np.array([np.searchsorted(row, c + reach, "right") for row, c in zip(self.sorted, centres.T, strict=True)])
+        low, wide = low.astype(self.rank.dtype), (high - low).astype(self.rank.dtype)
+        counts = np.zeros((len(centres), len(self.ids)), np.uint8)
+        offset, inside = np.empty(counts.shape, self.rank.dtype), np.empty(counts.shape, bool)
+        for ranks, a, n in zip(self.rank, low, wide, strict=True):
+            np.subtract(ranks[None, :], a[:, None], out=offset)  # wraps below the window
+            np.less(offset, n[:, None], out=inside)
+            np.add(counts, inside.view(np.uint8), out=counts)
+        return counts
+
+    def nearest(self, queries: np.ndarray, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query rows of the block and exact cosines of the k nearest found; row ``own`` (or -1) is left out."""
+        norms = np.sqrt((queries * queries).sum(1))
+        centres = (queries / norms[:, None]) @ self.directions
+        best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in queries]
+        seen = np.zeros((len(queries), len(self.ids)), bool)
+        seen[np.flatnonzero(own >= 0), own[own >= 0]] = True
+        active = np.arange(len(queries))
+        for radius in self.radii:
+            if not len(active):
+                break
             whole = radius >= 2
-            reach = math.inf if whole else WIDTH * radius
-            to_low = np.array([np.searchsorted(row, c - reach, "left") for row, c in zip(self.sorted, centre, strict=True)])
-            to_high = np.array([np.searchsorted(row, c + reach, "right") for row, c in zip(self.sorted, centre, strict=True)])
-            new = [o[a:b] for o, a, b in zip(self.order, to_low, low, strict=True) if a < b]
-            new += [o[a:b] for o, a, b in zip(self.order, high, to_high, strict=True) if a < b]
-            low, high = np.minimum(to_low, low), np.maximum(to_high, high)
-            if new:
-                counts += np.bincount(np.concatenate(new), minlength=n).astype(np.int32)
-            found = np.flatnonzero((counts >= self.threshold) & ~verified)
-            if len(found):
-                verified[found] = True
-                rows = np.concatenate([rows, found])
-                scores = np.concatenate([scores, self.vectors[found] @ query / (self.norms[found] * norm)])
-                best = np.lexsort((self.ids[rows], -scores))[:k]
-                rows, scores = rows[best], scores[best]
-            if whole or len(rows) == k and 2 - 2 * scores[-1] <= radius * radius:
-                return rows, scores
-            radius *= GROWTH
+            hits = ~seen[active] if whole else (self._counts(centres[active], WIDTH * radius) >= self.threshold) & ~seen[active]
+            seen[active] |= hits
+            self.verified += int(hits.sum())
+            left = []
+            for q, found in zip(active, hits, strict=True):
+                rows = np.flatnonzero(found)
+                if len(rows) > self.k:
+                    rough = self.vectors[rows] @ (queries[q] / norms[q]) / self.norms[rows]
+                    rows = rows[rough >= np.partition(rough, -self.k)[-self.k] - 1e-9]
+                scores = (self.vectors[rows] * queries[q]).sum(1) / (self.norms[rows] * norms[q])
+                rows, scores = np.concatenate([best[q][0], rows]), np.concatenate([best[q][1], scores])
+                first = np.lexsort((self.ids[rows], -scores))[: self.k]
+                best[q] = rows[first], scores[first]
+                if len(first) < self.k or 2 - 2 * scores[first[-1]] > radius * radius:
+                    left.append(q)
+            active = np.array(left, np.int64)
+        return best
 
 
 def search(
@@ -87,29 +116,51 @@ def search(
     spark = tuned(vectors.sparkSession)
     vector = F.col(vector_col).cast("array<double>")
     rows = vectors.where(usable(vectors, vector_col)).select(
-        F.col(id_col).cast("long").alias("id"), vector.alias("x"), F.size(vector_col).alias("width"), is_query.alias("query")
-    )
-    n, asked = rows.agg(F.count(F.lit(1)), F.count_if("query")).first()
-    row_blocks, query_blocks = max(1, -(-n // ROW_BLOCK)), max(1, -(-asked // QUERY_BLOCK))
-    dealt = lambda blocks, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(blocks)).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select("width", dealt(row_blocks, 1).alias("rb"), every(query_blocks).alias("qb"), "id", "x")
-    right = rows.where("query").select("width", every(row_blocks).alias("rb"), dealt(query_blocks, 2).alias("qb"), "id", "x")
-    schema = pa.schema([("query_id", pa.int64()), (id_col, pa.int64()), ("score", pa.float64())])
-
-    def block(key, data: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        if len(data) and len(queries):
-            width = key[0].as_py()
-            arrays = Arrays(matrix(data["x"], width), data["id"].to_numpy())
-            for own, query in zip(queries["id"].to_numpy(), matrix(queries["x"], width), strict=True):
-                found, scores = arrays.nearest(query, own, k)
-                for column, values in zip(out, ([own] * len(found), arrays.ids[found], scores), strict=True):
-                    column.extend(values)
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
-
-    keys = ["width", "rb", "qb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block, f"query_id long, `{id_col}` long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), vector.alias("x"),
+        F.size(vector_col).alias("width"), F.coalesce(is_query, F.lit(False)).alias("query"),
+    )
+    rows = stage(rows, "vectors")  # row numbers are fixed from here on
+    blocks = max(1, -(-rows.count() // ROW_BLOCK))
+    block = F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int")
+    data = rows.select("width", block.alias("block"), F.lit(0).alias("kind"), "rid", "id", "x")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asked = rows.where("query").select("width", every.alias("block"), F.lit(1).alias("kind"), "rid", "id", "x")
+    schema = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), (id_col, pa.int64()), ("score", pa.float64())])
+
+    def run(batches):
+        now, held, arrays, rids = None, [], None, None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+            begins = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for a, b in zip(begins, begins[1:], strict=False):
+                if a == b:
+                    continue
+                width, number, kind = keys[a]
+                part = batch.slice(a, b - a)
+                rid, ids, x = part.column(3).to_numpy(), part.column(4).to_numpy(zero_copy_only=False), matrix(part.column(5), width)
+                if now != (width, number):
+                    now, held, arrays = (width, number), [], None
+                if kind == 0:
+                    held.append((rid, ids, x))
+                    continue
+                if not held:
+                    continue  # no row was dealt to the block
+                if arrays is None:
+                    rids, own_ids, own = (np.concatenate(c) for c in zip(*held, strict=True))
+                    arrays = Arrays(own, own_ids, k)
+                out: list[list] = [[], [], [], []]
+                for s in range(0, len(rid), QUERY_BATCH):
+                    some = rid[s : s + QUERY_BATCH]
+                    at = np.minimum(np.searchsorted(rids, some), len(rids) - 1)  # rows of a block ascend
+                    found = arrays.nearest(x[s : s + QUERY_BATCH], np.where(rids[at] == some, at, -1))
+                    for q, (place, scores) in enumerate(found, s):
+                        for column, values in zip(out, ([rid[q]] * len(place), [ids[q]] * len(place), arrays.ids[place], scores), strict=True):
+                            column.extend(values)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
+
+    order = ["width", "block", "kind", "rid"]
+    dealt = data.unionByName(asked).repartition(blocks, "width", "block").sortWithinPartitions(*order)
+    found = dealt.mapInArrow(run, f"query long, query_id long, `{id_col}` long, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), id_col)
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", id_col, "score")
