@@ -171,7 +171,12 @@ def test_collision_counting_with_repeats_and_ties(spark):
     assert out[100] == [(1, 9)] and sorted(out[50]) == sorted([(1, 3), (2, 7), (3, 50), (4, 50)] * 2 + [(1, 3), (2, 7), (3, 50), (4, 50)])
 
 
-def test_product_quantisation_equals_brute_force(vectors):
+@pytest.mark.parametrize("block", [100, 16384])
+def test_product_quantisation_equals_brute_force(spark, vectors, monkeypatch, block):
+    monkeypatch.setattr(pq, "BLOCK", block)
+    monkeypatch.setattr(pq, "QUERY_BLOCK", 2 * block)
+    monkeypatch.setattr(pq, "QUERY_BATCH", 64)
+    monkeypatch.setattr("trellis.llm.components.HOT_ROWS", 20)
     df, x = vectors
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     near = unit @ unit.T >= 0.9
@@ -187,6 +192,15 @@ def test_product_quantisation_equals_brute_force(vectors):
     assert pq.links(df.limit(0)).collect() == []
 
 
+def test_product_quantisation_with_copies_and_lengths(spark, monkeypatch):
+    monkeypatch.setattr("trellis.llm.components.HOT_ROWS", 20)
+    rows = [(i, [1.0, 2.0, 0.0], "a") for i in range(60)] + [(7, [1.0, 2.0, 0.01], "b"), (None, [1.0, 2.0], "c"), (90, [2.0, 4.0], "c"), (91, [0.0, 1.0, 0.0], "d"), (92, [-1.0], "e")]
+    got = pq.links(spark.createDataFrame(rows, "vec_id long, embedding array<float>, key string")).collect()
+    assert sorted((r.vec_id is None, r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == sorted(
+        [(False, i, 60, 0, i == 0) for i in range(60)] + [(False, 7, 60, 0, False), (True, None, 1, 90, False), (False, 90, 1, 90, True), (False, 91, 0, 91, True), (False, 92, 0, 92, True)]
+    )
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(0, i) for i in range(300, 420)]
