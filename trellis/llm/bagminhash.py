@@ -46,7 +46,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 28, 5
 SIZE = BANDS * ROWS
 #: Rows of a block, and the bytes of its bags, about.
-BLOCK_ROWS, BLOCK_BYTES = 512, 16 << 20
+BLOCK_ROWS, BLOCK_BYTES = 256, 8 << 20
 #: Key of the word hashes.
 SEED = 0x5DEECE66D
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
