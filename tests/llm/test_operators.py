@@ -111,6 +111,60 @@ def test_chain_learns_and_keeps_clean(spark):
     assert not any(r.rejected for r in toxicity.score(docs, none).collect())
 
 
+def test_chain_equals_a_dense_one(spark):
+    rng = random.Random(3)
+    rows, marks = [], []
+    for i in range(300):
+        toxic, junk = rng.random() < 0.3, rng.random() < 0.3
+        rows.append((i, words(rng, 20) + (" vile bad" if toxic and rng.random() < 0.9 else "") + (" zz** qq" if junk else "") + rng.choice(["", " bad", " zz**"])))
+        marks.append((i, None if i % 11 == 0 else int(not junk), None if i % 13 == 0 else int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame([*marks, (5000, 1, 1)], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, labels, {k: f() for k, f in toxicity.CHAIN.items()})
+    hashed = {r.doc_id: r.f for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)).alias("f")).collect()}
+    known = [(i, q, t) for i, q, t in marks if not (q is None and t is None)]
+    text, texts = dict(rows), []
+    label = lambda q, t: [None if q is None else q == 0, None if t == 0 else None, None if t is None else t == 1]
+    y = []
+    for _, q, t in known:
+        prose = False if t == 0 or q == 0 else None if q is None or t is None else True
+        y.append([v if v is None else float(v) for v in (label(q, t)[0], prose, label(q, t)[2])])
+    y = np.array(y, np.float64)
+    texts = [toxicity.text_features(text[i]) for i, _, _ in known]
+    folds = np.array([hashed[i] for i, _, _ in known])
+
+    def choose(train):
+        kept = set()
+        for k in range(3):
+            on = train & ~np.isnan(y[:, k])
+            n, pos, found = on.sum(), (y[on, k] == 1).sum(), []
+            for f in {f for t in texts for f in t}:
+                has = np.array([f in t for t in texts])
+                total, hits = (has & on).sum(), (has & on & (y[:, k] == 1)).sum()
+                both = (total + 1) / (n + 2)
+                z = abs((hits + 0.5) / (pos + 1) - (total - hits + 0.5) / (n - pos + 1)) / np.sqrt(both * (1 - both) * (1 / (pos + 1) + 1 / (n - pos + 1)))
+                if total >= 4 and z >= 4:
+                    found.append((-z, f))
+            kept |= {f for _, f in sorted(found)[:600]}
+        return sorted(kept)
+
+    dense = lambda names: np.array([[float(t.get(f, 0)) for f in names] for t in texts]).reshape(len(texts), len(names))
+    empty = lambda n: toxicity._Sparse(n, 0, *[np.zeros(0, np.int64)] * 2, np.zeros(0))
+    sets = {f: choose(folds != f) for f in (-1, *range(5))}
+    earlier, weights = np.zeros((len(texts), 0)), []
+    for k in range(3):
+        ok, held = ~np.isnan(y[:, k]), np.zeros(len(texts))
+        whole = np.hstack([dense(sets[-1]), earlier])
+        weights.append(toxicity.fit_linear(empty(ok.sum()), whole[ok], y[ok, k]))
+        for f in range(5):
+            both, on = np.hstack([dense(sets[f]), earlier]), ok & (folds != f)
+            w = toxicity.fit_linear(empty(on.sum()), both[on], y[on, k])
+            held[folds == f] = 1 / (1 + np.exp(-(both[folds == f] @ w[:-1] + w[-1])))
+        earlier = np.column_stack([earlier, held])
+    assert sorted(chain.columns) == sets[-1] and len(sets[-1]) >= 2
+    for a, b in zip(chain.weights, weights, strict=True):
+        assert np.allclose(a, b, atol=1e-6)
+
+
 # operators 5 and 8
 
 

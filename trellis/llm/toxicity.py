@@ -3,20 +3,24 @@
 Categories are predicted one after another; each model sees a document's features and
 the probabilities of the categories before it.  In training those probabilities are
 out-of-fold: a fold's documents get them from a model that was fitted on the other
-folds, so later models learn from predictions as uncertain as those they will meet.
+folds, with features chosen on those folds alone, so later models learn from predictions as
+uncertain as those they will meet.
 
 Features are sums over the distinct space-delimited tokens of the whole text: the
 bare lower-case word, its first five letters, and a closing run of symbols.
 Only features whose rate differs between a category's two classes by ``LEAST_Z``
 standard errors are kept, the clearest ``MAX_FEATURES``, so the many neutral words of a long text add nothing.
 
-The models are fitted on the driver from a sample of at most ``TRAIN_ROWS`` labelled
-documents, the first by a hash of their id (a documented bound); scoring reads all
-documents, and the model it broadcasts is bounded by the sample.
+The models are fitted from a sample of at most ``TRAIN_ROWS`` labelled documents, the first by
+a hash of their id (a documented bound).  Executors extract and count the features; the driver
+gets, of the chosen features only, their counts in the sample, and no text.  Scoring reads all
+documents, and the model it broadcasts is bounded by the number of chosen features.
 
-Defined results: a null or empty text has no features and is not toxic; labels that
-are null are left out; without any labelled documents, or if a category has one class
-only, the probability is that class's; repeated rows are scored alike.
+Defined results: a null or empty text has no features and is not toxic; a category is learnt
+from the documents whose label of it is known; without any labelled documents, or if a category
+has one class only, the probability is that class's; repeated rows are scored alike; of rows
+that share an id the greatest text and labels are learnt from; a very long text is one set of
+tokens in a worker's memory.
 """
 
 from __future__ import annotations
@@ -27,12 +31,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trellis.llm.chunks import _Memo
-from trellis.llm.scratch import tuned
+from trellis.llm.scratch import stage, tuned
 
 TRAIN_ROWS = 8192
 FOLDS = 5
@@ -69,13 +73,17 @@ def text_features(text: str | None) -> dict[str, int]:
 
 
 class _Sparse:
-    """Rows of (column, value), as arrays for products with vectors."""
+    """(row, column, value) entries, for products with vectors."""
 
-    def __init__(self, rows: list[dict[int, float]], width: int):
-        self.n, self.width = len(rows), width
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.col = np.array([c for r in rows for c in r], np.int64)
-        self.val = np.array([v for r in rows for v in r.values()], np.float64)
+    def __init__(self, n: int, width: int, row: np.ndarray, col: np.ndarray, val: np.ndarray):
+        self.n, self.width, self.row, self.col, self.val = n, width, row, col, val
+
+    def part(self, rows: np.ndarray, columns: np.ndarray) -> _Sparse:
+        """The given rows (a mask) and columns (their numbers), renumbered."""
+        r, c = np.cumsum(rows) - 1, np.full(self.width, -1)
+        c[columns] = np.arange(len(columns))
+        keep = rows[self.row] & (c[self.col] >= 0)
+        return _Sparse(int(rows.sum()), len(columns), r[self.row[keep]], c[self.col[keep]], self.val[keep])
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.val * w[self.col], self.n)
@@ -114,47 +122,20 @@ class Chain:
     columns: dict[str, int] = field(default_factory=dict)
     weights: list[np.ndarray] = field(default_factory=list)
 
-    @staticmethod
-    def _select(rows: list[dict[str, int]], labels: np.ndarray) -> dict[str, int]:
-        """Features that some category's classes have at clearly different rates."""
-        totals: dict[str, int] = defaultdict(int)
-        for r in rows:
-            for f in r:
-                totals[f] += 1
-        frequent = {f for f, c in totals.items() if c >= LEAST_COUNT}
-        kept: set[str] = set()
-        for y in labels.T:
-            hits: dict[str, int] = defaultdict(int)
-            for r, mark in zip(rows, y, strict=True):
-                if mark:
-                    for f in r.keys() & frequent:
-                        hits[f] += 1
-            n, positive = len(rows), int(y.sum())
-            found = []
-            for f in frequent:
-                p, q = (hits[f] + 0.5) / (positive + 1), (totals[f] - hits[f] + 0.5) / (n - positive + 1)
-                both = (totals[f] + 1) / (n + 2)
-                z = abs(p - q) / math.sqrt(both * (1 - both) * (1 / (positive + 1) + 1 / (n - positive + 1)))
-                if z >= LEAST_Z:
-                    found.append((-z, f))
-            kept.update(f for _, f in sorted(found)[:MAX_FEATURES])
-        return {f: k for k, f in enumerate(sorted(kept))}
-
     @classmethod
-    def fit(cls, texts: list[str | None], labels: np.ndarray, folds: np.ndarray, names: list[str]) -> Chain:
-        rows = [text_features(t) for t in texts]
-        out = cls(names, cls._select(rows, labels) if len(rows) else {})
-        known = [{out.columns[f]: 1.0 * v for f, v in r.items() if f in out.columns} for r in rows]
-        matrix = lambda keep: _Sparse([r for r, k in zip(known, keep, strict=True) if k], len(out.columns))
-        whole, earlier = matrix(np.ones(len(rows), bool)), np.zeros((len(rows), 0))
+    def fit(cls, x: _Sparse, chosen: dict[int, np.ndarray], features: list[str], labels: np.ndarray, folds: np.ndarray, names: list[str]) -> Chain:
+        """``chosen``: columns by the fold that they were chosen without; -1 for all rows.  Unknown labels are NaN."""
+        own = chosen[-1]
+        out = cls(names, {features[c]: k for k, c in enumerate(own.tolist())})
+        earlier = np.zeros((x.n, 0))
         for k in range(len(names)):
-            y = labels[:, k]
-            out.weights.append(fit_linear(whole, earlier, y))
-            held_out = np.zeros(len(rows))
+            y, known = labels[:, k], ~np.isnan(labels[:, k])
+            out.weights.append(fit_linear(x.part(known, own), earlier[known], y[known]))
+            held_out = np.zeros(x.n)
             for fold in np.unique(folds):
-                test = folds == fold
-                w = fit_linear(matrix(~test), earlier[~test], y[~test])
-                part = matrix(test)
+                test, train = folds == fold, (folds != fold) & known
+                w = fit_linear(x.part(train, chosen[fold]), earlier[train], y[train])
+                part = x.part(test, chosen[fold])
                 held_out[test] = _sigmoid(part.dot(w[: part.width]) + earlier[test] @ w[part.width : -1] + w[-1])
             earlier = np.column_stack([earlier, held_out])
         return out
@@ -185,19 +166,66 @@ class Chain:
         return score
 
 
+def _chosen(features: DataFrame, folds: np.ndarray, labels: np.ndarray) -> list:
+    """(feature, without): the clearest features of each category on all rows (without -1) and without each fold.
+
+    ``features``: (fold, y0, y1, ..., feature) of the sample's rows.  Counts are made on the executors; at most
+    ``MAX_FEATURES`` rows for each category and fold come back.
+    """
+    many = range(labels.shape[1])
+    sums = [F.count_if((F.col("fold") == f) & F.col(f"y{k}").isNotNull()).alias(f"t{k}_{f}") for k in many for f in range(FOLDS)]
+    sums += [F.count_if((F.col("fold") == f) & (F.col(f"y{k}") == 1)).alias(f"p{k}_{f}") for k in many for f in range(FOLDS)]
+    counts = features.groupBy("feature").agg(*sums, F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_COUNT)
+    found = []
+    for k in many:
+        for without in (-1, *range(FOLDS)):
+            rows = (folds != without) & ~np.isnan(labels[:, k])
+            n, positive = int(rows.sum()), int((labels[rows, k] == 1).sum())
+            total, hits = (sum((F.col(f"{c}{k}_{f}") for f in range(FOLDS) if f != without), F.lit(0)) for c in "tp")
+            p, q, both = (hits + 0.5) / (positive + 1), (total - hits + 0.5) / (n - positive + 1), (total + 1) / (n + 2)
+            z = F.abs(p - q) / F.sqrt(both * (1 - both) * (1 / (positive + 1) + 1 / (n - positive + 1)))
+            frequent = F.when(total >= LEAST_COUNT, z).otherwise(F.lit(0.0))
+            found.append(F.struct(F.lit(k).alias("k"), F.lit(without).alias("without"), frequent.alias("z")))
+    rows = counts.select("feature", F.explode(F.array(*found)).alias("f")).select("feature", "f.*").where(F.col("z") >= LEAST_Z)
+    best = Window.partitionBy("k", "without").orderBy(F.desc("z"), "feature")
+    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= MAX_FEATURES).select("feature", "without").distinct().collect()
+
+
 def train(
     docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS
 ) -> Chain:
     """Fit the chain on labelled documents; a sample of at most ``rows`` ids, the first by hash."""
-    marks = [F.max(c.cast("int")).alias(f"y{k}") for k, c in enumerate(categories.values())]
-    known = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(*marks).dropna()
-    picked = known.orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    texts = docs.select(id_col, text_col).join(F.broadcast(picked), id_col)
-    texts = texts.groupBy(id_col).agg(F.max(text_col).alias("t"), *[F.max(f"y{k}").alias(f"y{k}") for k in range(len(marks))])
-    sample = texts.select("t", F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(FOLDS)).alias("fold"), *[f"y{k}" for k in range(len(marks))])
-    table = sample.orderBy(F.xxhash64(id_col)).toArrow()
-    y = np.array([table[f"y{k}"].to_numpy() for k in range(len(marks))], np.float64).reshape(len(marks), -1).T
-    return Chain.fit(table["t"].to_pylist(), y, table["fold"].to_numpy(), list(categories))
+    spark, many = tuned(docs.sparkSession), len(categories)
+    ys = [f"y{k}" for k in range(many)]
+    marks = [F.max(c.cast("int")).alias(y) for y, c in zip(ys, categories.values(), strict=True)]
+    known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*marks).dropna("all", subset=ys)
+    picked = known.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(rows)
+    fold = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(FOLDS)).cast("int").alias("fold")
+    number = F.row_number().over(Window.orderBy(F.xxhash64("id"), "id")) - 1  # of the bounded sample
+    picked = stage(picked.select("id", number.alias("row"), fold, *ys), "picked")
+    sample = picked.orderBy("row").select("fold", *ys).toPandas()
+    folds, y = sample["fold"].to_numpy(), sample[ys].to_numpy(np.float64).reshape(len(sample), many)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
+    texts = texts.groupBy("row").agg(F.max("text").alias("text"), F.first("fold").alias("fold"), *[F.first(c).alias(c) for c in ys])
+
+    def extract(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                counts = text_features(batch.column(1)[i].as_py())
+                if counts:
+                    same = [pa.array([batch.column(c)[i].as_py()] * len(counts), pa.int32()) for c in (0, *range(2, 3 + many))]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int32())], ["row", "fold", *ys, "feature", "n"])
+
+    found = texts.mapInArrow(extract, f"row int, fold int, {', '.join(f'{c} int' for c in ys)}, feature string, n int")
+    found = stage(found, "features")
+    chosen = _chosen(found, folds, y)
+    names = sorted({r.feature for r in chosen})
+    at = {f: k for k, f in enumerate(names)}
+    columns = {f: np.array(sorted(at[r.feature] for r in chosen if r.without == f), np.int64) for f in (-1, *range(FOLDS))}
+    numbers = F.broadcast(spark.createDataFrame(list(at.items()), "feature string, col int"))  # bounded by MAX_FEATURES
+    entries = found.join(numbers, "feature").select("row", "col", "n").toPandas().sort_values(["row", "col"])
+    x = _Sparse(len(folds), len(names), entries["row"].to_numpy(np.int64), entries["col"].to_numpy(np.int64), entries["n"].to_numpy(np.float64))
+    return Chain.fit(x, columns, names, y, folds, list(categories))
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
