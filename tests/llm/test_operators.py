@@ -408,6 +408,28 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).collect() == []
 
 
+def test_warc_of_other_writers(spark, tmp_path):
+    import base64
+    import gzip
+
+    def record(k, body, version=b"WARC/1.0", **more):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + body
+        head = {"WARC-Type": "response", "WARC-Record-ID": f"<urn:{k}>", "WARC-Page": k, "Content-Length": len(block), **more}
+        return version + b"\r\n" + "".join(f"{a}: {b}\r\n" for a, b in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    b32 = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    raw = [record(k, b"body %d" % k * 50, **{"WARC-Payload-Digest": b32(b"body %d" % k * 50)}) for k in range(3000)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in raw[:2900]))  # a member for each record
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"".join(raw[2900:2990])))
+    (tmp_path / "c.warc").write_bytes(b"".join(raw[2990:]))
+    got = warc.read(spark, str(tmp_path), with_payload=True).collect()
+    assert sorted((r.page, bytes(r.payload)) for r in got) == [(k, b"body %d" % k * 50) for k in range(3000)]
+    with pytest.raises(ValueError):
+        warc.inflate(gzip.compress(b"x" * 100)[:-3])
+    many = [b"r%d" % k for k in range(50)]
+    assert warc.inflate(warc._EMPTY_MEMBER.join(map(warc.member, many))) == gzip.decompress(b"".join(map(warc.member, many))) == b"".join(many)
+
+
 def test_warc_framing():
     for data in (b"", b"a", b"x" * 4096, b"y" * 9999):
         assert warc.dechunked(warc.chunked(data)) == data

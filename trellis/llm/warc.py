@@ -6,21 +6,25 @@ first keeps its type with WARC-Segment-Number 1, the rest are ``continuation``
 records with WARC-Segment-Origin-ID, and the last has WARC-Segment-Total-Length.
 Of records with equal payloads of at least ``MIN_DEDUP`` bytes that with the largest
 page_id is the response; the others are ``revisit`` records without a body that name
-it.  Files are written by Spark's writer, gzipped, in any store that Spark reaches.
+it.  Files are written by Spark's writer in any store that Spark reaches, each record in a gzip
+member of its own, at most ``FILE_RECORDS`` records in a file.
 
-Reading.  Records are parsed from the files; those in one piece are complete.
+Reading.  Gzip members, one or many in a file, and records of WARC 1.0 and 1.1 are parsed, a file
+at a time; records in one piece are complete.
 Segments are grouped by origin, ordered by number, checked for gaps, for the total
 length and for the block digest, and joined; then the chunked framing is decoded and
-the payload digest is verified.  A record that fails raises an error.
+the payload digest is verified, as far as a record states digests (base 16 or 32).  A record that
+fails raises an error.
 
 Defined results: a null or empty html is an empty payload, a response; rows that
 repeat a page_id are records of their own, and those with the largest page_id of
 equal payloads are all responses.  A null page_id is a response and is never
-referred to.
+referred to.  A very long page is segments of bounded size, joined in one task.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -29,13 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm.scratch import new_dir, tuned
+from trellis.llm.scratch import new_dir, stage, tuned
 
 MIN_DEDUP = 1000
 SEGMENT_BYTES = 16_384
 CHUNK_BYTES = 4096
+FILE_RECORDS = 8192
 _END = b"\r\n\r\n"
 _VERSION = b"WARC/1.1\r\n"
+#: Between the members that Spark's writer puts on lines: a member that holds nothing.
+_EMPTY_MEMBER = bytes.fromhex("1f8b080000000000000303000000000000000000")
+_READ = 1 << 16
 
 
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -92,11 +100,31 @@ def records(page: int | None, uid: str, url: str, payload: bytes, digest: str, k
         yield _record(head + (base if k == 0 else []), block[a : a + segment])
 
 
+def member(data: bytes) -> bytes:
+    """A gzip member."""
+    make = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return make.compress(data) + make.flush()
+
+
+def inflate(data: bytes) -> bytes:
+    """All gzip members of a file, in bounded steps, so that many small ones are read in linear time."""
+    view, at, out = memoryview(data), 0, []
+    while at < len(view):
+        one = zlib.decompressobj(31)
+        while not one.eof:
+            some = view[at : at + _READ]
+            if not len(some):
+                raise ValueError("a gzip member is cut off")
+            out.append(one.decompress(some))
+            at += len(some) - len(one.unused_data)
+    return b"".join(out)
+
+
 def parse(data: bytes):
     """(headers in lower case, block) of each record of a file."""
     at = 0
     while at < len(data):
-        if data[at : at + len(_VERSION)] != _VERSION:
+        if data[at : at + len(_VERSION)] not in (_VERSION, b"WARC/1.0\r\n"):
             raise ValueError(f"no record at byte {at}")
         end = data.index(_END, at)
         lines = data[at + len(_VERSION) : end].decode().split("\r\n")
@@ -134,7 +162,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
             columns = [batch.column(c).to_pylist() for c in range(6)]
             for page, url, html, digest, first, uid in zip(*columns, strict=True):
                 kind = "revisit" if first is not None and page is not None and page != first else "response"
-                out += records(page, uid, url, html.encode("utf-8"), digest, kind, first)
+                out += [member(r + _END) for r in records(page, uid, url, html.encode("utf-8"), digest, kind, first)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     (
@@ -142,8 +170,9 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         .select("page", "url", "html", "digest", "first", F.uuid().alias("uid"))
         .mapInArrow(run, "record binary")
         .select(F.col("record").cast("string").alias("value"))
-        .write.option("lineSep", "\r\n\r\n")
-        .option("compression", "gzip")
+        .write.option("encoding", "ISO-8859-1")
+        .option("lineSep", _EMPTY_MEMBER.decode("latin-1"))
+        .option("maxRecordsPerFile", FILE_RECORDS)
         .text(path)
     )
 
@@ -152,9 +181,13 @@ _FIELDS = "page long, digest string, length long, kind string, refers_to long, b
 _NAMES = ["page", "digest", "length", "kind", "refers_to", "block_digest"]
 
 
+def _hex(digest: str) -> str:
+    return base64.b32decode(digest).hex() if len(digest) == 32 else digest.lower()
+
+
 def _fields(h: dict[str, str]) -> list:
     number = lambda k: int(h[k]) if h.get(k) else None
-    digest = lambda k: h[k].removeprefix("sha1:") if k in h else None
+    digest = lambda k: _hex(h[k].removeprefix("sha1:")) if k in h else None
     kind = h["warc-type"]
     return [
         number("warc-page"), digest("warc-payload-digest"), number("warc-payload-length"),
@@ -162,15 +195,16 @@ def _fields(h: dict[str, str]) -> list:
     ]
 
 
-def payload(block: bytes, block_digest: str, digest: str, kind: str) -> bytes | None:
+def payload(block: bytes, block_digest: str | None, digest: str | None, kind: str) -> bytes | None:
     """Payload of a whole block, all digests verified; None for a revisit."""
-    if hashlib.sha1(block).hexdigest() != block_digest:
+    if block_digest is not None and hashlib.sha1(block).hexdigest() != block_digest:
         raise ValueError("the block's digest differs")
-    head, _, body = block.partition(_END)
     if kind == "revisit":
         return None
-    found = dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
-    if hashlib.sha1(found).hexdigest() != digest:
+    head, _, body = block.partition(_END) if block[:5] == b"HTTP/" else (b"", b"", block)
+    found = dechunked(body) if re.search(rb"transfer-encoding:\s*chunked", head.lower()) else body
+    # some writers state the digest of the body as it was transferred
+    if digest is not None and digest not in (hashlib.sha1(found).hexdigest(), hashlib.sha1(body).hexdigest()):
         raise ValueError("the payload's digest differs")
     return found
 
@@ -184,7 +218,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
             for content in batch.column(0):
                 data = content.as_py()
                 if data[:2] == b"\x1f\x8b":
-                    data = zlib.decompress(data, 31)
+                    data = inflate(data)
                 columns: list[list] = [[] for _ in range(12)]
                 for h, block in parse(data):
                     segment = h.get("warc-segment-number")
@@ -215,7 +249,13 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
     schema = f"{_FIELDS}, origin string, segment int, total long, part binary, payload binary, size long"
     tuned(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
-    parsed = files.mapInArrow(scan, schema)
+    # a file at a time in a worker; once for whole records and segments
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        parsed = stage(files.mapInArrow(scan, schema), "records")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
     whole = parsed.where("segment = 0").select(*_NAMES, "payload", "size")
     firsts = [F.max(c).alias(c) for c in [*_NAMES, "total"]]
     ordered = F.array_sort(F.collect_list(F.struct("segment", "part")))
