@@ -108,6 +108,9 @@ def test_op10_round_trip(docs, spark):
         start += len(ids)
     assert sorted(map(tuple, eliasfano.round_trip(docs, BYTE, 0).collect())) == sorted(expected)
     assert eliasfano.round_trip(docs.limit(0), BYTE, 0).collect() == []
+    hot = spark.createDataFrame([(5, "same text")] * 400 + [(i, f"t {i}") for i in range(20)], "doc_id long, text string").repartition(3)
+    found = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in eliasfano.round_trip(hot, BYTE, 0).collect())
+    assert [d for _, d, _, _ in found] == [*range(5), *[5] * 401, *range(6, 20)] and [a + n for a, _, n, _ in found][:-1] == [a for a, *_ in found][1:]
     nulls = spark.createDataFrame([(None, "b"), (3, "a"), (-2, None)], "doc_id long, text string")
     assert sorted((r.start, r.doc_id) for r in eliasfano.round_trip(nulls, BYTE, 0).collect()) == [(0, None), (2, -2), (3, 3)]
 

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ from trellis.llm.vocab import ByteLevelEncoder, encoder
 
 MAGIC = b"EFTK1\0"
 BLOCK_IDS = 4_000_000
+#: Bytes of texts of a range of documents, number of ranges at most, and rows that the ranges are drawn from.
+RANGE_BYTES, MAX_RANGES, RANGE_SAMPLE = 32 << 20, 100_000, 100_000
 #: Blocks of a file at most: a file is one value to its reader.
 FILE_BLOCKS = 8
 SAMPLE = 256
@@ -154,21 +157,45 @@ def blocks(data: bytes):
         yield one
 
 
+def _bounds(rows: DataFrame) -> list[tuple]:
+    """Lower ends of the ranges of (id known, id, tie), nulls first, but that of the first, from a sample of ``RANGE_SAMPLE`` rows or so.
+
+    They only steer how even the ranges are.  The texts are read once for their hashes, and not encoded.
+    """
+    n, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length(rows.columns[2]) + 8)).first()
+    parts = min(MAX_RANGES, max(rows.sparkSession.sparkContext.defaultParallelism, -(-(size or 0) // RANGE_BYTES)))
+    share = min(1.0, RANGE_SAMPLE / max(n, 1))
+    some = rows.select("id", "tie").sample(share, 7)
+    keys = sorted((r.id is not None, r.id or 0, r.tie) for r in some.collect())
+    return [keys[len(keys) * k // parts] for k in range(1, parts)] if keys else []
+
+
+def _range(bounds: list[tuple], key: tuple, k: int) -> int:
+    """The range of a row; rows of a key that fills several ranges are equal and are dealt to these by turns."""
+    low, high = bisect_left(bounds, key), bisect_right(bounds, key)
+    return high if high - low < 2 else low + 1 + k % (high - low)
+
+
 def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode each whole text, append ``end_id`` and write the files."""
     tuned(docs.sparkSession)
     end = np.array([end_id], "<u2").tobytes()
 
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tie"), text_col)
+    bounds = _bounds(rows)
+
     def encode(batches):
         coder = encoder(ByteLevelEncoder, tokenizer_path)
         for batch in batches:
             ids = [coder.encode(t.as_py() or "") + end for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["id", "tie", "ids"])
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            parts = [_range(bounds, (i is not None, i or 0, t), k) for k, (i, t) in enumerate(keys)]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["part", "id", "tie", "ids"])
 
     def run(batches):
         doc_ids, parts, size = [], [], 0
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+            for doc_id, ids in zip(batch.column(1).to_pylist(), batch.column(3), strict=True):
                 doc_ids.append(doc_id)
                 parts.append(ids.as_py())
                 size += len(parts[-1])
@@ -178,13 +205,11 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id_col:
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array([block(doc_ids, parts, 2)], pa.binary())], ["block"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tie"), text_col)
-    # ids are a fraction of their texts: they, and not the texts, are sampled for the ranges and shuffled
-    encoded = stage(rows.mapInArrow(encode, "id long, tie long, ids binary"), "encoded")
-    order = [F.col("id").asc_nulls_first(), F.col("tie")]
+    # texts are encoded where they are read; their ids, a fraction of them, are shuffled
+    encoded = rows.mapInArrow(encode, "part int, id long, tie long, ids binary")
     (
-        encoded.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        encoded.repartitionById(len(bounds) + 1, "part")
+        .sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("tie"))
         .mapInArrow(run, "block binary")
         .select(F.col("block").cast("string").alias("value"))
         .write.option("lineSep", "\n")
