@@ -13,6 +13,9 @@ from trellis import suite
 HEADLINE = [
     "scan_label", "filtered_scan", "single_hop", "filtered_hop", "two_hop", "three_hop_aggregate", "aggregation_count", "aggregation_avg",
     "pricing_summary", "variable_length", "optional_match", "exists_semi", "top_k", "set_from_aggregate", "window_tumbling",
+    # 15,000 people and 75,000 edges at sf0.1
+    "people_scan", "people_filtered_scan", "people_single_hop", "people_filtered_hop", "people_two_hop", "people_count", "people_avg",
+    "people_variable_length", "people_reachable",
 ]
 
 

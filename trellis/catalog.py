@@ -18,6 +18,8 @@ class Relationship:
     #: Labels that the ends are known to have; None where unknown.
     source_label: str | None = None
     target_label: str | None = None
+    #: Whether every end is known to be in its label's table, so that a label needs no join to be checked.
+    sound: bool = False
 
 
 def properties(df: DataFrame) -> list[str]:

@@ -225,7 +225,10 @@ def _keys(x: Typed) -> Typed:
 def _values(x: Typed) -> Typed:
     if isinstance(x.type, T.StructType):
         kinds = {f.dataType.simpleString() for f in x.type.fields}
-        one = (lambda v: v) if len(kinds) == 1 else (lambda v: v.cast("string"))
+        numbers = all(isinstance(f.dataType, T.NumericType) for f in x.type.fields)
+        whole = all(isinstance(f.dataType, T.IntegralType) for f in x.type.fields)
+        common = "bigint" if whole else "double" if numbers else "string"
+        one = (lambda v: v) if len(kinds) == 1 else (lambda v: v.cast(common))
         return make(lambda c: F.when(c.isNotNull(), F.array(*[one(c[n]) for n in x.type.fieldNames()])), x)
     return make(F.map_values, x)
 

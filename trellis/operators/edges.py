@@ -13,7 +13,8 @@ def _edges(rows: DataFrame, source: Column, target: Column, targets: DataFrame |
     if targets is not None:
         known = targets.select(quoted(target_id).cast("string").alias("__known"))
         out = out.join(known, F.col(TARGET).cast("string") == F.col("__known"), "left_semi")
-    return out.select(F.monotonically_increasing_id().alias(ID), SOURCE, TARGET)
+    # from the ends, so that an edge has the same id whenever it is derived
+    return out.select(F.xxhash64(SOURCE, TARGET).alias(ID), SOURCE, TARGET)
 
 
 def by_column(rows: DataFrame, id_col: str, column: str, targets: DataFrame | None = None, target_id: str = ID) -> DataFrame:

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trellis.storage import shared_dir
+
 #: Hops after which an unbounded pattern stops.
 MAX_HOPS = 20
 #: Hops whose plan is kept in one piece; longer ones are cut by a written table.
@@ -18,13 +20,10 @@ CUT_EVERY = 4
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint where the session has a folder for it; it survives lost executors."""
+    """A reliable checkpoint in the shared folder: it survives lost executors and fixes what was not deterministic."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            return df
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

@@ -37,6 +37,7 @@ class Compiler:
         self.fresh_columns = 0
         self.used: set[str] | None = None
         self.before: dict[str, Symbol] = {}
+        self.filtered: set[str] = set()
 
     def fresh(self, stem: str = "c") -> str:
         self.fresh_columns += 1
@@ -183,9 +184,22 @@ class Compiler:
     def _match(self, clause: A.Match, frame: Frame | None) -> Frame:
         if clause.optional:
             return self._optional(clause, frame or self.seed())
+        self.filtered = self._filtered(clause.where)
         frame = self.patterns(clause.paths, frame)
         return self.where(frame, clause.where)
 
+    @staticmethod
+    def _filtered(condition: A.Node | None) -> set[str]:
+        """Variables that a conjunct compares with a constant, so that few of their rows remain."""
+        out = set()
+        for c in conjuncts(condition):
+            if isinstance(c, A.Binary) and c.op in ("=", "<", ">", "<=", ">=", "IN", "STARTS WITH", "=~"):
+                for a, b in ((c.left, c.right), (c.right, c.left)):
+                    constant = not any(isinstance(n, A.Variable) for n in A.walk(b))
+                    if isinstance(a, A.Property) and isinstance(a.target, A.Variable) and constant:
+                        out.add(a.target.name)
+        return out
+
     def patterns(self, todo: tuple[A.PathPattern, ...], frame: Frame | None) -> Frame:
         """Paths in an order in which each shares a variable with those before, where there is one."""
         left = list(todo)
@@ -200,12 +214,16 @@ class Compiler:
         bound = frame.symbols if frame is not None else {}
         start = next((k for k, n in enumerate(path.nodes) if n.name in bound), None)
         if start is None:
-            start = max(range(len(path.nodes)), key=lambda k: (path.nodes[k].properties is not None, bool(path.nodes[k].labels), -k))
+            few = lambda n: n.properties is not None or n.name in self.filtered
+            start = max(range(len(path.nodes)), key=lambda k: (few(path.nodes[k]), bool(path.nodes[k].labels), -k))
             start = 0 if path.shortest or any(r.length for r in path.rels) else start
-            scanned = self.scan(path.nodes[start].name, path.nodes[start])
-            # a filter that ties it to the frame makes the product a join
-            frame = scanned if frame is None else Frame(frame.df.crossJoin(scanned.df), frame.symbols | scanned.symbols)
-            frame = self._node_filters(frame, path.nodes[start])
+            if frame is None and self._skips(path, start):
+                frame = Frame(self.spark.range(1).select(), {})  # the first hop's edges are the start
+            else:
+                scanned = self.scan(path.nodes[start].name, path.nodes[start])
+                # a filter that ties it to the frame makes the product a join
+                frame = scanned if frame is None else Frame(frame.df.crossJoin(scanned.df), frame.symbols | scanned.symbols)
+                frame = self._node_filters(frame, path.nodes[start])
         else:
             frame = self._check_bound(frame, path.nodes[start])
         hops: list[str] = []
@@ -221,6 +239,22 @@ class Compiler:
             frame = Frame(frame.df.withColumn(column, length), frame.symbols | {path.name: Symbol("path", column)})
         return frame
 
+    def _skips(self, path: A.PathPattern, start: int) -> bool:
+        """Whether the start's table need not be read: nothing reads it, and the sound edges of the first hop tell its label."""
+        node = path.nodes[start]
+        if not path.rels or path.shortest or len(path.nodes) != len({n.name for n in path.nodes}):
+            return False
+        rel, backwards = (path.rels[start], False) if start < len(path.rels) else (path.rels[start - 1], True)
+        if rel.length is not None or rel.direction == "both" or not self._unread(node):
+            return False
+        out = (rel.direction == "out") != backwards
+        rels = [self.graph.rels.get(t) for t in rel.types]
+        known = {None if r is None or not r.sound else r.source_label if out else r.target_label for r in rels}
+        return bool(rels) and None not in known and (not node.labels or set(node.labels) == known)
+
+    def _unread(self, node: A.NodePattern) -> bool:
+        return self.used is not None and node.name not in self.used and node.properties is None and node.where is None and node.name not in self.filtered
+
     def scan(self, name: str, pattern: A.NodePattern | None = None, labels: tuple[str, ...] = ()) -> Frame:
         wanted = labels or (pattern.labels if pattern is not None else ())
         if pattern is not None and len(pattern.labels) > 1 and not pattern.any_label and len(set(pattern.labels)) > 1:
@@ -283,10 +317,12 @@ class Compiler:
         types = tuple(t for t in (pattern.types or tuple(self.graph.rels)) if t in self.graph.rels)
         if not types:
             empty = self.spark.range(0).select(*[F.col("id").alias(c) for c in (ID, SOURCE, TARGET)])
-            return empty.withColumn("__type__", F.lit(None).cast("string")), [], pattern.types
-        parts = [self.graph.rels[t].df.withColumn("__type__", F.lit(t)) for t in types]
+            return empty.withColumns({c: F.lit(None).cast("string") for c in ("__type__", "__sl__", "__tl__")}), [], pattern.types
+        rels = [self.graph.rels[t] for t in types]
+        ends = lambda r: {"__sl__": F.lit(r.source_label).cast("string"), "__tl__": F.lit(r.target_label).cast("string")}
+        parts = [r.df.withColumns({"__type__": F.lit(t)} | ends(r)) for t, r in zip(types, rels, strict=True)]
         df = parts[0] if len(parts) == 1 else union(parts)
-        return df, [p for p in properties(df) if p != "__type__"], types
+        return df, [p for p in properties(df) if p not in ("__type__", "__sl__", "__tl__")], types
 
     def _hop(self, frame: Frame, path: A.PathPattern, k: int, near: A.NodePattern, far: A.NodePattern, backwards: bool, hops: list[str]) -> Frame:
         rel = path.rels[k]
@@ -298,27 +334,38 @@ class Compiler:
         df, props, types = self.edges(rel)
         if ID not in df.columns:
             df = df.withColumn(ID, F.monotonically_increasing_id())
-        names = {c: self.fresh("e") for c in (ID, SOURCE, TARGET, "__type__")} | {p: prop_column(rel.name, p) for p in props}
+        names = {c: self.fresh("e") for c in (ID, SOURCE, TARGET, "__type__", "__sl__", "__tl__")} | {p: prop_column(rel.name, p) for p in props}
         again = rel.name in frame.symbols
         if again:
             names |= {p: self.fresh("e") for p in props}
         flat = df.select(*[quoted(c).alias(n) for c, n in names.items()])
         source, target, ends = quoted(names[SOURCE]), quoted(names[TARGET]), {}
         if direction == "both":
-            s, t = self.fresh("s"), self.fresh("t")
-            swapped = flat.where(source != target).withColumn(s, target).withColumn(t, source)
-            flat = flat.withColumn(s, source).withColumn(t, target).unionByName(swapped)
-            ends = {"near": s, "far": t}
+            s, t, sl, tl = (self.fresh(c) for c in ("s", "t", "sl", "tl"))
+            labels = quoted(names["__sl__"]), quoted(names["__tl__"])
+            loop = (source == target) & F.coalesce(labels[0] == labels[1], F.lit(True))
+            swapped = flat.where(~loop).withColumns({s: target, t: source, sl: labels[1], tl: labels[0]})
+            flat = flat.withColumns({s: source, t: target, sl: labels[0], tl: labels[1]}).unionByName(swapped)
+            ends = {"near": s, "far": t, "near_label": sl, "far_label": tl}
         else:
-            ends = {"near": names[SOURCE], "far": names[TARGET]} if direction == "out" else {"near": names[TARGET], "far": names[SOURCE]}
+            ends = {"near": names[SOURCE], "far": names[TARGET], "near_label": names["__sl__"], "far_label": names["__tl__"]}
+            if direction == "in":
+                ends = {"near": ends["far"], "far": ends["near"], "near_label": ends["far_label"], "far_label": ends["near_label"]}
+        if near.name not in frame.symbols:  # the edges are the start
+            known = self._end_labels(types, "in" if direction == "out" else "out")
+            flat = flat.withColumn(near.name, quoted(ends["near"]))
+            frame, flat = Frame(flat, {near.name: Symbol("node", near.name, known[:1])}), None
         here = frame.symbol(near.name)
         on = quoted(here.column) == quoted(ends["near"])
+        on = self._of_label(on, here, quoted(ends["near_label"]), types, direction, False)
         if again:
             on = on & (quoted(frame.symbols[rel.name].column) == quoted(names[ID]))
         bound = far.name in frame.symbols and frame.symbols[far.name].kind != "value" or far.name == near.name
         if bound:
-            on = on & (quoted(frame.symbol(far.name).column) == quoted(ends["far"]))
-        joined = frame.df.join(flat, on)
+            there = frame.symbol(far.name)
+            on = on & (quoted(there.column) == quoted(ends["far"]))
+            on = self._of_label(on, there, quoted(ends["far_label"]), types, direction, True)
+        joined = frame.df if flat is None else frame.df.join(flat, on)
         symbol = Symbol("rel", names[ID], types, {p: names[p] for p in props}, names["__type__"] if len(types) != 1 else None, names[SOURCE], names[TARGET])
         frame = Frame(joined, frame.symbols | {rel.name: symbol} if not again else frame.symbols)
         frame = self._match_properties(frame, rel.name, rel.properties)
@@ -326,7 +373,16 @@ class Compiler:
         if bound:
             return self._check_bound(frame, far)
         known = self._end_labels(types, direction)
-        return self._arrive(frame, far, ends["far"], known)
+        sound = all(self.graph.rels[t].sound for t in types if t in self.graph.rels)
+        return self._arrive(frame, far, ends["far"], known, ends["far_label"], sound)
+
+    def _of_label(self, on: Column, symbol: Symbol, label: Column, types: tuple[str, ...], direction: str, far: bool) -> Column:
+        """``on`` and that the node has the label that the edge's end is known to have; nothing where all have it anyway."""
+        if symbol.kind != "node" or direction != "both" and self._end_labels(types, direction if far else {"out": "in", "in": "out"}[direction]) == symbol.labels and len(symbol.labels) == 1:
+            return on
+        if symbol.label_column is not None:
+            return on & F.coalesce(label == quoted(symbol.label_column), F.lit(True))
+        return on & F.coalesce(label.isin(*symbol.labels), F.lit(True)) if symbol.labels else on
 
     def _end_labels(self, types: tuple[str, ...], direction: str) -> tuple[str, ...]:
         rels = [self.graph.rels[t] for t in types if t in self.graph.rels]
@@ -334,17 +390,25 @@ class Compiler:
         found = set().union(*map(side, rels)) if rels else set()
         return () if None in found else tuple(sorted(found))
 
-    def _arrive(self, frame: Frame, far: A.NodePattern, column: str, known: tuple[str, ...]) -> Frame:
-        """Bind the far node: a join with its table, which also checks its label."""
+    def _arrive(self, frame: Frame, far: A.NodePattern, column: str, known: tuple[str, ...], label: str | None = None, sound: bool = False) -> Frame:
+        """Bind the far node: a join with its table, which also checks its label; none where nothing is to be read or checked."""
         if far.name in frame.symbols:
             frame = frame.with_df(frame.df.filter(quoted(frame.symbol(far.name).column) == quoted(column)))
             return self._check_bound(frame, far)
-        if not far.labels and self.used is not None and far.name not in self.used:
+        told = sound and len(known) == 1 and tuple(far.labels) == known
+        if (not far.labels or told) and self._unread(far):
             df = frame.df.withColumn(far.name, quoted(column))
             return Frame(df, frame.symbols | {far.name: Symbol("node", far.name, known[:1] if len(known) == 1 else ())})
         labels = () if far.labels else tuple(x for x in known if x in self.graph.nodes)
         scanned = self.scan(far.name, far, labels)
-        df = frame.df.join(scanned.df, quoted(column) == quoted(far.name))
+        on = quoted(column) == quoted(far.name)
+        symbol = scanned.symbols[far.name]
+        if label is not None and (symbol.labels != known or len(known) > 1):
+            if symbol.label_column is not None:
+                on = on & F.coalesce(quoted(label) == quoted(symbol.label_column), F.lit(True))
+            elif symbol.labels:
+                on = on & F.coalesce(quoted(label).isin(*symbol.labels), F.lit(True))
+        df = frame.df.join(scanned.df, on)
         return self._node_filters(Frame(df, frame.symbols | scanned.symbols), far)
 
     def _far_hop(self, frame: Frame, path: A.PathPattern, rel: A.RelPattern, near: A.NodePattern, far: A.NodePattern, direction: str, hops: list[str]) -> Frame:
@@ -354,26 +418,44 @@ class Compiler:
             one = Frame(df.select(*[quoted(c).alias(n) for c, n in names.items()]), {rel.name: Symbol("rel", names.get(ID, names[SOURCE]), types, {c: names[c] for c in properties(df)})})
             one = self.where(self._match_properties(one, rel.name, rel.properties), rel.where)
             df = one.df.select(*[quoted(n).alias(c) for c, n in names.items()])
-        out = df.select(quoted(SOURCE).alias("s"), quoted(TARGET).alias("t"))
+        here = frame.symbol(near.name)
+        rels = [self.graph.rels[t] for t in types if t in self.graph.rels]
+        labels = {x for r in rels for x in (r.source_label, r.target_label)}
+        # ids of several labels are told apart by their label, where it is known of all ends
+        apart = len(labels) > 1 and None not in labels and here.kind == "node" and (here.label_column is not None or len(here.labels) == 1)
+        node = lambda label, i: F.struct(label.alias("label"), i.cast("string").alias("id")) if apart else i
+        here_label = quoted(here.label_column) if here.label_column is not None else F.lit(here.labels[0] if here.labels else None)
+        out = df.select(node(F.col("__sl__"), quoted(SOURCE)).alias("s"), node(F.col("__tl__"), quoted(TARGET)).alias("t"))
         edges = {"out": out, "in": out.select(F.col("t").alias("s"), F.col("s").alias("t"))}
         edges["both"] = edges["out"].unionByName(edges["in"])
         pairs = edges[direction].distinct()
-        here = frame.symbol(near.name)
-        starts = frame.df.select(quoted(here.column).alias("start")).distinct()
+        starts = frame.df.select(node(here_label, quoted(here.column)).alias("start")).distinct()
         least, most = rel.length or (1, 1)
         if most is not None and least > most:
             raise CypherSemanticError(f"no length is from {least} to {most}")
         walk = paths.shortest if path.shortest else paths.expand
         found = walk(starts, pairs, least, most)
         a, b, h = self.fresh("a"), self.fresh("b"), self.fresh("h")
-        found = found.select(F.col("start").alias(a), F.col("end").alias(b), F.col("hops").cast("long").alias(h))
         hops.append(h)
-        on = quoted(here.column) == quoted(a)
-        again = far.name in frame.symbols
+        again, end_label = far.name in frame.symbols, None
+        if apart:
+            end_label, kind = self.fresh("l"), frame.df.schema[here.column].dataType
+            ends = [F.col("start.label").alias(a + "l"), F.col("start.id").cast(kind).alias(a), F.col("end.label").alias(end_label), F.col("end.id").alias(b)]
+            found = found.select(*ends, F.col("hops").cast("long").alias(h))
+            on = (quoted(here.column) == quoted(a)) & (here_label == quoted(a + "l"))
+        else:
+            found = found.select(F.col("start").alias(a), F.col("end").alias(b), F.col("hops").cast("long").alias(h))
+            on = quoted(here.column) == quoted(a)
         if again:
-            on = on & (quoted(frame.symbol(far.name).column) == quoted(b))
-        frame = Frame(frame.df.join(found, on).drop(a), frame.symbols | {rel.name: Symbol("value", h)})
-        return self._check_bound(frame, far) if again else self._arrive(frame, far, b, self._end_labels(types, direction) if least > 0 else ())
+            there = frame.symbol(far.name)
+            on = on & (quoted(there.column).cast("string") == quoted(b) if apart else quoted(there.column) == quoted(b))
+            if apart and there.kind == "node" and (there.label_column is not None or there.labels):
+                on = on & (quoted(end_label) == quoted(there.label_column) if there.label_column is not None else quoted(end_label).isin(*there.labels))
+        frame = Frame(frame.df.join(found, on).drop(a, a + "l"), frame.symbols | {rel.name: Symbol("value", h)})
+        if again:
+            return self._check_bound(frame, far)
+        known = tuple(sorted(labels)) if apart else self._end_labels(types, direction) if least > 0 else ()
+        return self._arrive(frame, far, b, known, end_label)
 
     def _optional(self, clause: A.Match, frame: Frame) -> Frame:
         """Left join: the pattern and its WHERE are matched from the distinct bindings that they share with the frame."""

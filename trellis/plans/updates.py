@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,18 +30,16 @@ class Updates:
     # ids
 
     def _numbered(self, df: DataFrame, column: str, after: int) -> DataFrame:
-        """Dense numbers from after + 1; per-partition counts are the only thing that is collected."""
+        """Dense numbers from after + 1, from a cut table: the number of a row doesn't change when it is read again."""
         raw = self.c.fresh("n")
         df = _cut(df.withColumn(raw, F.monotonically_increasing_id()))
         part = F.shiftright(quoted(raw), 33)
-        counts = df.groupBy(part.alias("p")).count().orderBy("p").collect()
-        bases, n = {}, after + 1
-        for r in counts:
-            bases[r.p], n = n, n + r["count"]
-        if not bases:
-            return df.withColumn(column, F.lit(None).cast("long")).drop(raw)
-        base = F.create_map(*[F.lit(x).cast("long") for kv in bases.items() for x in kv])[part]
-        return df.withColumn(column, base + quoted(raw).bitwiseAND((1 << 33) - 1)).drop(raw)
+        # a row for each partition
+        p, base, before = self.c.fresh("p"), self.c.fresh("b"), Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+        counts = df.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"))
+        bases = counts.select(F.col("p").alias(p), (F.coalesce(F.sum("n").over(before), F.lit(0)) + after + 1).alias(base))
+        joined = df.join(F.broadcast(bases), part == quoted(p))
+        return joined.withColumn(column, quoted(base) + quoted(raw).bitwiseAND((1 << 33) - 1)).drop(raw, p, base)
 
     @staticmethod
     def _last_id(df: DataFrame | None) -> int:
@@ -109,7 +107,7 @@ class Updates:
             new = Relationship(rows, *labels)
         else:
             same = [old if old == now else None for old, now in zip((known.source_label, known.target_label), labels, strict=True)]
-            new = Relationship(union([known.df, rows]), *same)
+            new = Relationship(union([known.df, rows]), *same, known.sound and None not in same)
         self.c.graph = self.c.graph.with_rel(kind, new)
         symbol = Symbol("rel", names[ID], (kind,), columns, None, names[SOURCE], names[TARGET])
         return Frame(df, frame.symbols | {rel.name: symbol})
@@ -207,6 +205,10 @@ class Updates:
                 table = self.c.graph.nodes[label] if symbol.kind == "node" else self.c.graph.rels[label].df
                 if symbol.kind == "node" and clause.detach:
                     self._detach(label, gone)
+                elif symbol.kind == "node":  # edges may be left without an end
+                    for kind, rel in self.c.graph.rels.items():
+                        if rel.sound and label in (rel.source_label, rel.target_label):
+                            self.c.graph = self.c.graph.with_rel(kind, replace(rel, sound=False))
                 self._replace(symbol, label, table.join(gone, quoted(ID) == F.col("__key"), "left_anti"))
         return frame
 

@@ -17,8 +17,8 @@ from trellis.sources.readers import source_from_uri
 from trellis.sources.sinks import write
 
 _LOG = logging.getLogger(__name__)
-#: Modules from which a configuration may not take functions.
-_BLOCKED = {"os", "sys", "subprocess", "shutil", "socket", "ctypes", "importlib", "builtins", "pickle", "marshal", "pty", "signal"}
+#: Modules from which a configuration may take functions, besides those that it is run with (``allowed``).
+ALLOWED = {"math", "statistics", "string", "textwrap", "unicodedata", "colorsys"}
 
 
 def substituted(value: Any) -> Any:
@@ -54,8 +54,11 @@ def _source(spark: SparkSession, spec: dict, add) -> None:
             _LOG.warning("source %s was left out", spec.get("id", spec["uri"]), exc_info=True)
 
 
-def run(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
-    """Load the sources, register functions, run the queries in their order and write the outputs."""
+def run(spark: SparkSession, config: dict, allowed: set[str] = frozenset()) -> dict[str, DataFrame]:
+    """Load the sources, register functions, run the queries in their order and write the outputs.
+
+    ``allowed``: modules of the caller's from which the configuration may take functions.
+    """
     session = GraphSession(spark)
     sources = config.get("sources", {})
     for spec in sources.get("entities", []):
@@ -64,13 +67,19 @@ def run(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
         _source(spark, spec, lambda df, s=spec: session.add_relationship(s["relationship_type"], df, s["source_col"], s["target_col"], s.get("source_label"), s.get("target_label"), s.get("id_col")))
     for spec in config.get("functions", []):
         module = spec["module"]
-        if module.split(".")[0] in _BLOCKED:
+        if module not in ALLOWED | set(allowed):
             raise CypherSemanticError(f"functions can't come from {module!r}")
         found = importlib.import_module(module)
         for name in spec["names"]:
             session.register_function(name, getattr(found, name))
-    by_text = {q["inline"]: q["id"] for q in config.get("queries", [])}
-    results = {by_text[q]: session.cypher(q) for q in ordered(list(by_text))}
+    queries = config.get("queries", [])
+    if len({q["id"] for q in queries}) < len(queries):
+        raise CypherSemanticError("two queries have the same id")
+    results = {}
+    for text in ordered(list(dict.fromkeys(q["inline"] for q in queries))):
+        for q in queries:  # queries of equal texts are run each
+            if q["inline"] == text:
+                results[q["id"]] = session.cypher(text)
     for spec in config.get("output", []):
         write(results[spec["query_id"]], spec["uri"], spec.get("mode", "overwrite"))
     return results

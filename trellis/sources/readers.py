@@ -30,7 +30,8 @@ def check_select(query: str) -> str:
 
 @dataclass
 class FileSource:
-    """CSV, Parquet, JSON or ORC files; ``query`` is SQL over the view ``source``, ``schema_hints`` are casts."""
+    """CSV, Parquet, JSON (lines, or with the option ``records`` an array) or ORC files; ``query`` is SQL over the view
+    ``source``, ``schema_hints`` are casts."""
 
     uri: str
     format: str
@@ -40,7 +41,10 @@ class FileSource:
 
     def read(self, spark: SparkSession) -> DataFrame:
         defaults = {"csv": {"header": True, "inferSchema": True}}.get(self.format, {})
-        df = spark.read.format(self.format).options(**(defaults | self.options)).load(self.uri)
+        options = defaults | self.options
+        if options.pop("records", False):  # one JSON array, or records over several lines
+            options["multiLine"] = True
+        df = spark.read.format(self.format).options(**options).load(self.uri)
         if self.query:
             df = spark.sql(re.sub(r"\bsource\b", "{source}", check_select(self.query)), source=df)
         return df.withColumns({c: quoted(c).try_cast(t) for c, t in self.schema_hints.items() if c in df.columns})

@@ -30,7 +30,7 @@ def graph(spark: SparkSession, sf_dir: str) -> GraphSession:
 
 
 def _load(spark: SparkSession, sf_dir: str) -> GraphSession:
-    """Ids are keys of their tables, so none is checked for repeats."""
+    """Ids are keys of their tables, so none is checked for repeats; edges are foreign keys, which hold."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     s = GraphSession(spark)
     keys = {"Region": ("region", "r_regionkey"), "Nation": ("nation", "n_nationkey"), "Customer": ("customer", "c_custkey"), "Supplier": ("supplier", "s_suppkey"), "Part": ("part", "p_partkey"), "Order": ("orders", "o_orderkey")}
@@ -38,7 +38,7 @@ def _load(spark: SparkSession, sf_dir: str) -> GraphSession:
         df = read(table)
         s.add_entity(label, df.withColumnRenamed(key, "__ID__").withColumn(key, F.col("__ID__")))
     edge = lambda kind, df, a, b, ends, *props: s.add_relationship(
-        kind, df.select(F.col(a).alias("__SOURCE__"), F.col(b).alias("__TARGET__"), *props), source_label=ends[0], target_label=ends[1]
+        kind, df.select(F.col(a).alias("__SOURCE__"), F.col(b).alias("__TARGET__"), *props), source_label=ends[0], target_label=ends[1], sound=True
     )
     edge("IN_REGION", read("nation"), "n_nationkey", "n_regionkey", ("Nation", "Region"))
     edge("LIVES_IN", read("customer"), "c_custkey", "c_nationkey", ("Customer", "Nation"))
@@ -250,3 +250,5 @@ def _pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph(spark, sf_dir).cypher(
         "MATCH (o:Order) RETURN o.o_orderstatus AS s, sum(CASE WHEN o.o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS urgent, sum(CASE WHEN o.o_orderpriority = '5-LOW' THEN 1 ELSE 0 END) AS low"
     )
+
+from trellis import suite_functions  # noqa: E402, F401
