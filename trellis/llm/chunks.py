@@ -13,8 +13,8 @@ from collections.abc import Callable
 import regex
 
 #: Entries of a worker's memo, which keeps twice as many: memory is bounded.
-MEMO_CHUNKS = 400_000
-MEMO_PIECES = 100_000
+MEMO_CHUNKS = 250_000
+MEMO_PIECES = 50_000
 #: Longer keys are not kept.
 MEMO_LENGTH = 64
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trellis.llm.scratch import new_dir, stage, tuned
-from trellis.llm.vocab import ByteLevelEncoder, encoder
+from trellis.llm.vocab import ByteLevelEncoder, encoder, release
 
 MAGIC = b"EFTK1\0"
 BLOCK_IDS = 4_000_000
@@ -193,6 +193,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id_col:
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["part", "id", "tie", "ids"])
 
     def run(batches):
+        release()
         doc_ids, parts, size = [], [], 0
         for batch in batches:
             for doc_id, ids in zip(batch.column(1).to_pylist(), batch.column(3), strict=True):

@@ -102,3 +102,8 @@ def encoder(kind: type, path: str):
         _made.clear()
         _made[kind, path] = kind(path)
     return _made[kind, path]
+
+
+def release() -> None:
+    """Forget the encoder: stages that encode nothing run in the same workers."""
+    _made.clear()
