@@ -12,9 +12,9 @@ Only features whose rate differs between a category's two classes by ``LEAST_Z``
 standard errors are kept, the clearest ``MAX_FEATURES``, so the many neutral words of a long text add nothing.
 
 The models are fitted from a sample of at most ``TRAIN_ROWS`` labelled documents, the first by
-a hash of their id (a documented bound).  Executors extract and count the features; the driver
-gets, of the chosen features only, their counts in the sample, and no text.  Scoring reads all
-documents, and the model it broadcasts is bounded by the number of chosen features.
+a hash of their id (a documented bound).  Executors extract, count and choose the features, and
+one task fits the models on the counts of the chosen ones; the driver gets the fitted chain only.
+Scoring reads all documents, and the model it broadcasts is bounded by the number of chosen features.
 
 Defined results: a null or empty text has no features and is not toxic; a category is learnt
 from the documents whose label of it is known; without any labelled documents, or if a category
@@ -26,6 +26,7 @@ tokens in a worker's memory.
 from __future__ import annotations
 
 import math
+import pickle
 from collections import defaultdict
 from dataclasses import dataclass, field
 
@@ -166,11 +167,10 @@ class Chain:
         return score
 
 
-def _chosen(features: DataFrame, folds: np.ndarray, labels: np.ndarray) -> list:
+def _chosen(features: DataFrame, folds: np.ndarray, labels: np.ndarray) -> DataFrame:
     """(feature, without): the clearest features of each category on all rows (without -1) and without each fold.
 
-    ``features``: (fold, y0, y1, ..., feature) of the sample's rows.  Counts are made on the executors; at most
-    ``MAX_FEATURES`` rows for each category and fold come back.
+    ``features``: (fold, y0, y1, ..., feature) of the sample's rows.  At most ``MAX_FEATURES`` rows for each category and fold.
     """
     many = range(labels.shape[1])
     sums = [F.count_if((F.col("fold") == f) & F.col(f"y{k}").isNotNull()).alias(f"t{k}_{f}") for k in many for f in range(FOLDS)]
@@ -188,14 +188,15 @@ def _chosen(features: DataFrame, folds: np.ndarray, labels: np.ndarray) -> list:
             found.append(F.struct(F.lit(k).alias("k"), F.lit(without).alias("without"), frequent.alias("z")))
     rows = counts.select("feature", F.explode(F.array(*found)).alias("f")).select("feature", "f.*").where(F.col("z") >= LEAST_Z)
     best = Window.partitionBy("k", "without").orderBy(F.desc("z"), "feature")
-    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= MAX_FEATURES).select("feature", "without").distinct().collect()
+    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= MAX_FEATURES).select("feature", "without").distinct()
 
 
 def train(
     docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS
 ) -> Chain:
     """Fit the chain on labelled documents; a sample of at most ``rows`` ids, the first by hash."""
-    spark, many = tuned(docs.sparkSession), len(categories)
+    tuned(docs.sparkSession)
+    many = len(categories)
     ys = [f"y{k}" for k in range(many)]
     marks = [F.max(c.cast("int")).alias(y) for y, c in zip(ys, categories.values(), strict=True)]
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*marks).dropna("all", subset=ys)
@@ -203,8 +204,8 @@ def train(
     fold = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(FOLDS)).cast("int").alias("fold")
     number = F.row_number().over(Window.orderBy(F.xxhash64("id"), "id")) - 1  # of the bounded sample
     picked = stage(picked.select("id", number.alias("row"), fold, *ys), "picked")
-    sample = picked.orderBy("row").select("fold", *ys).toPandas()
-    folds, y = sample["fold"].to_numpy(), sample[ys].to_numpy(np.float64).reshape(len(sample), many)
+    sample = picked.orderBy("row").select("fold", *ys).toArrow()
+    folds, y = sample["fold"].to_numpy(), np.array([sample[c].to_numpy() for c in ys], np.float64).reshape(many, -1).T
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
     texts = texts.groupBy("row").agg(F.max("text").alias("text"), F.first("fold").alias("fold"), *[F.first(c).alias(c) for c in ys])
 
@@ -218,14 +219,45 @@ def train(
 
     found = texts.mapInArrow(extract, f"row int, fold int, {', '.join(f'{c} int' for c in ys)}, feature string, n int")
     found = stage(found, "features")
-    chosen = _chosen(found, folds, y)
-    names = sorted({r.feature for r in chosen})
-    at = {f: k for k, f in enumerate(names)}
-    columns = {f: np.array(sorted(at[r.feature] for r in chosen if r.without == f), np.int64) for f in (-1, *range(FOLDS))}
-    numbers = F.broadcast(spark.createDataFrame(list(at.items()), "feature string, col int"))  # bounded by MAX_FEATURES
-    entries = found.join(numbers, "feature").select("row", "col", "n").toPandas().sort_values(["row", "col"])
-    x = _Sparse(len(folds), len(names), entries["row"].to_numpy(np.int64), entries["col"].to_numpy(np.int64), entries["n"].to_numpy(np.float64))
-    return Chain.fit(x, columns, names, y, folds, list(categories))
+    chosen = stage(_chosen(found, folds, y), "chosen")
+    numbers = chosen.select("feature").distinct().withColumn("col", F.row_number().over(Window.orderBy("feature")) - 1)  # bounded
+    numbers = stage(numbers, "numbers")
+    entry = lambda kind, a, b, c, text=None: [F.lit(kind).alias("kind"), *(F.col(x).cast("int").alias(n) if isinstance(x, str) else F.lit(x).cast("int").alias(n) for x, n in zip((a, b, c), "abc", strict=True)), F.lit(None).cast("string").alias("text") if text is None else F.col(text).alias("text")]
+    marks = [picked.select(*entry(0, "row", k, c)) for k, c in enumerate(ys)]
+    parts = [picked.select(*entry(1, "row", "fold", 0)), chosen.join(F.broadcast(numbers), "feature").select(*entry(2, "col", "without", 0, "feature"))]
+    parts += [*marks, found.join(F.broadcast(numbers), "feature").select(*entry(3, "row", "col", "n"))]
+    names = list(categories)
+
+    def fit(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_fitted(batches, names))], pa.binary())], ["chain"])
+
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return pickle.loads(every.coalesce(1).mapInArrow(fit, "chain binary").first()[0])
+
+
+def _fitted(batches, names: list[str]) -> Chain:
+    """The chain of a sample's parts (kind, a, b, c, text): labels, folds, chosen features and their counts."""
+    held: list[list] = [[], [], [], []]
+    for batch in batches:
+        kinds = batch.column(0).to_numpy()
+        values = np.array([batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3)], np.float64)
+        for kind, part in enumerate(held):
+            at = np.flatnonzero(kinds == kind)
+            if len(at):
+                part.append((values[:, at], batch.column(4).take(pa.array(at)).to_pylist() if kind == 2 else []))
+    whole = [np.concatenate([v for v, _ in part], axis=1) if part else np.zeros((3, 0)) for part in held]
+    labels, folds, chosen, counts = whole
+    y, fold = np.full((folds.shape[1], len(names)), np.nan), np.zeros(folds.shape[1], np.int64)
+    y[labels[0].astype(int), labels[1].astype(int)] = labels[2]
+    fold[folds[0].astype(int)] = folds[1]
+    texts = [t for _, some in held[2] for t in some]
+    features = dict(zip(chosen[0].astype(int).tolist(), texts, strict=True))
+    columns = {f: np.unique(chosen[0][chosen[1] == f]).astype(np.int64) for f in (-1, *range(FOLDS))}
+    order = np.lexsort((counts[1], counts[0]))
+    x = _Sparse(len(fold), len(features), counts[0][order].astype(np.int64), counts[1][order].astype(np.int64), counts[2][order])
+    return Chain.fit(x, columns, [features[k] for k in range(len(features))], y, fold, names)
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
