@@ -236,7 +236,13 @@ class Compiler:
             length = F.lit(len(path.rels) - len(hops)).cast("long")
             for h in hops:
                 length = length + quoted(h)
-            frame = Frame(frame.df.withColumn(column, length), frame.symbols | {path.name: Symbol("path", column)})
+            parts: dict[str, str] = {}
+            if not hops:  # ids of a path of fixed length
+                ids = {"nodes": [n.name for n in path.nodes], "relationships": [r.name for r in path.rels]}
+                parts = {k: self.fresh(k) for k in ids}
+                one = lambda name: quoted(frame.symbols[name].column)
+                frame = frame.with_df(frame.df.withColumns({parts[k]: F.array(*map(one, v)) if v else F.array().cast("array<bigint>") for k, v in ids.items()}))
+            frame = Frame(frame.df.withColumn(column, length), frame.symbols | {path.name: Symbol("path", column, props=parts)})
         return frame
 
     def _skips(self, path: A.PathPattern, start: int) -> bool:
@@ -540,7 +546,7 @@ class Compiler:
         self.before = {} if any(aggregating) else frame.symbols
         out, hidden = build(clause, frame, items, names, aggregating)
         if clause.distinct:
-            ids = [c for n in names for c in (out.symbols[n].column, out.symbols[n].label_column) if c is not None]
+            ids = [c for n in names for c in out.symbols[n].identity()]
             out = out.with_df(out.df.dropDuplicates(list(dict.fromkeys(ids))))
         out = self._modify(clause, out, hidden)
         if not clause.final:
@@ -600,8 +606,8 @@ class Compiler:
             passed = self._passed(frame, item.value)
             column = self.fresh("v")
             if passed is not None:
-                keys += [quoted(c).alias(c) for c in (passed.column, passed.label_column) if c is not None]
-                firsts += [c for c in passed.columns() if c not in (passed.column, passed.label_column)]
+                keys += [quoted(c).alias(c) for c in passed.identity()]
+                firsts += [c for c in passed.columns() if c not in passed.identity()]
                 symbols[name] = passed
             elif agg:
                 aggs.append(inner(item.value).col.alias(column))

@@ -454,6 +454,10 @@ class Expressions:
         own = self._of_column(symbol.column)
         if name == "length" and symbol.kind == "path":
             return own
+        if name in ("nodes", "relationships") and symbol.kind == "path":
+            if name not in symbol.props:
+                raise CypherSemanticError(f"a path of variable length keeps its ends and its length, not its {name}")
+            return self._of_column(symbol.props[name])
         if symbol.kind not in ("node", "rel"):
             return None
         label = self._of_column(symbol.label_column) if symbol.label_column else make(lambda c: F.when(c.isNotNull(), F.lit(symbol.labels[0] if symbol.labels else None)), own, dtype=STRING)

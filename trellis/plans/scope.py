@@ -34,6 +34,11 @@ class Symbol:
     source: str | None = None
     target: str | None = None
 
+    def identity(self) -> list[str]:
+        """Columns that tell two bindings apart."""
+        parts = [*self.props.values()] if self.kind == "path" else []
+        return [c for c in (self.column, self.label_column, *parts) if c is not None]
+
     def columns(self) -> list[str]:
         extra = [c for c in (self.label_column, self.source, self.target) if c is not None]
         return [self.column, *self.props.values(), *extra]

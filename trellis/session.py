@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import functools
 import inspect
-from collections.abc import Callable
+import logging
+import re
+import time
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trellis.analytics import QueryLog
 from trellis.catalog import Graph, Relationship, properties
 from trellis.errors import CypherSemanticError
 from trellis.functions.typed import Typed, make
@@ -19,6 +25,7 @@ from trellis.plans import ast as A
 from trellis.plans.compiler import Compiler
 from trellis.plans.parser import parse
 from trellis.plans.scope import ID, SOURCE, TARGET, quoted
+from trellis.plans.validation import Finding, validate
 from trellis.sources.normalise import as_entity, as_relationship, from_any
 
 _PYTHON_TYPES = {int: T.LongType(), float: T.DoubleType(), str: T.StringType(), bool: T.BooleanType()}
@@ -40,7 +47,9 @@ class GraphSession:
                 "propertyKey", sorted({p for t in [*c.graph.nodes.values(), *(r.df for r in c.graph.rels.values())] for p in properties(t)})
             ),
         }
-        self._cache: dict[tuple, DataFrame] | None = None
+        self._cache: ResultCache | None = None
+        self._saved: list[tuple[str | None, Graph]] = []
+        self.log = QueryLog()
 
     def _table(self, name: str, values: list[str]) -> DataFrame:
         return self.spark.createDataFrame([(v,) for v in values], f"{name} string")
@@ -70,13 +79,15 @@ class GraphSession:
     # functions and procedures
 
     def register_function(self, name: str, fn: Callable, return_type: T.DataType | str | None = None, vectorised: bool = False) -> None:
-        """A user's function: null for null arguments and where it raises; ``vectorised`` ones get pandas series."""
+        """A user's function: null for null arguments and where it raises (logged once in a worker); ``vectorised`` ones get pandas series."""
         hints = {k: v for k, v in inspect.get_annotations(fn, eval_str=True).items() if k == "return"}
         kind = return_type or _PYTHON_TYPES.get(hints.get("return"), T.StringType())
         if vectorised:
             udf = F.pandas_udf(fn, kind)
         else:
 
+            seen: list[bool] = []
+
             @functools.wraps(fn)
             def safe(*args):
                 if any(a is None for a in args):
@@ -84,9 +95,12 @@ class GraphSession:
                 try:
                     return fn(*args)
                 except Exception:
+                    if not seen:  # once in a worker: a wrong function looks like missing data otherwise
+                        seen.append(True)
+                        logging.getLogger("trellis").warning("the function %s raised an error and gave null", name, exc_info=True)
                     return None
 
-            udf = F.udf(safe, kind)
+            udf = F.udf(safe, kind, useArrow=True)
         self.udfs[name.lower()] = lambda *args: make(udf, *args)
 
     def cypher_function(self, fn: Callable) -> Callable:
@@ -103,21 +117,100 @@ class GraphSession:
 
         self.procedures[name.lower()] = run
 
-    def enable_cache(self) -> None:
-        """Results of read-only queries are kept until the graph changes."""
-        self._cache = {}
+    def enable_cache(self, entries: int = 64, seconds: float | None = None) -> ResultCache:
+        """Results of read-only queries are kept until the graph changes: the ``entries`` used last, for ``seconds`` at most."""
+        self._cache = ResultCache(entries, seconds)
+        return self._cache
+
+    # transactions: the graph is immutable, so a state is kept by its name
+
+    def begin(self, savepoint: str | None = None) -> None:
+        """Remember the present state, as a savepoint if named."""
+        self._saved.append((savepoint, self.graph))
+
+    def commit(self) -> None:
+        """Keep what was done since the last ``begin`` without a name; its savepoints are forgotten."""
+        self._back(None)
+
+    def rollback(self, savepoint: str | None = None) -> None:
+        """Return to the last ``begin``, or to the named savepoint, which stays."""
+        graph = self._back(savepoint)
+        if savepoint is not None:
+            self._saved.append((savepoint, graph))
+        self._set(graph)
+
+    def _back(self, savepoint: str | None) -> Graph:
+        while self._saved:
+            name, graph = self._saved.pop()
+            if name == savepoint:
+                return graph
+        raise CypherSemanticError(f"there is no savepoint {savepoint!r}" if savepoint else "no transaction has begun")
+
+    @contextmanager
+    def transaction(self) -> Iterator[GraphSession]:
+        """All updates within take effect, or none if an error leaves the block."""
+        self.begin()
+        try:
+            yield self
+        except BaseException:
+            self.rollback()
+            raise
+        self.commit()
 
     # queries
 
+    def validate(self, query: str) -> list[Finding]:
+        """What is wrong or doubtful in a query, before it runs."""
+        return validate(query, self.graph, self.udfs, self.procedures)
+
     def cypher(self, query: str, parameters: dict[str, Any] | None = None, **more: Any) -> DataFrame:
-        """Run a query; its updates take effect if all of it compiles."""
+        """Run a query; its updates take effect if all of it compiles.
+
+        ``EXPLAIN query`` gives the lines of its plan and changes nothing; ``PROFILE query`` runs it, updates included,
+        and gives (phase, seconds, rows).
+        """
+        word = re.match(r"\s*(EXPLAIN|PROFILE)\b", query, re.I)
         given = {**(parameters or {}), **more}
+        if word is None:
+            return self._timed(query, given)
+        rest = query[word.end() :]
+        if word[1].upper() == "EXPLAIN":
+            lines = self.explain(rest, given).splitlines()
+            return self.spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "line int, plan string")
+        return self.spark.createDataFrame(self.profile(rest, given), "phase string, seconds double, rows long")
+
+    def _timed(self, query: str, given: dict[str, Any]) -> DataFrame:
+        began = time.perf_counter()
+        try:
+            out = self._run(query, given)
+        except Exception:
+            self.log.add(query, time.perf_counter() - began, True)
+            raise
+        self.log.add(query, time.perf_counter() - began)
+        return out
+
+    def profile(self, query: str, parameters: dict[str, Any] | None = None) -> list[tuple[str, float, int | None]]:
+        """(phase, seconds, rows) of parsing, compiling, planning and running; rows are those of the result."""
+        clock = [time.perf_counter()]
+        parse.__wrapped__(query)
+        clock.append(time.perf_counter())
+        df = self._run(query, parameters or {})
+        clock.append(time.perf_counter())
+        df._jdf.queryExecution().executedPlan()
+        clock.append(time.perf_counter())
+        rows = df.count()
+        clock.append(time.perf_counter())
+        spent = [b - a for a, b in zip(clock, clock[1:], strict=False)]
+        self.log.add(query, clock[-1] - clock[0])
+        return [(phase, s, rows if phase == "run" else None) for phase, s in zip(("parse", "compile", "plan", "run"), spent, strict=True)]
+
+    def _run(self, query: str, given: dict[str, Any]) -> DataFrame:
         tree = parse(query)
         key = (tree, repr(sorted(given.items())))
         reading = not any(isinstance(n, A.UPDATES) for n in A.walk(tree.statements))
         steady = not any(isinstance(n, A.Call) and n.name.lower() in _VOLATILE for n in A.walk(tree.statements))
-        if self._cache is not None and reading and steady and key in self._cache:
-            return self._cache[key]
+        if self._cache is not None and reading and steady and (kept := self._cache.get(key)) is not None:
+            return kept
         graph, frames = self.graph, []
         for statement in tree.statements:
             compiler = Compiler(self.spark, graph, given, self.udfs, self.procedures)
@@ -127,7 +220,7 @@ class GraphSession:
         if graph is not self.graph:
             self._commit(graph)
         elif self._cache is not None and reading and steady:
-            self._cache[key] = out = out.cache()
+            out = self._cache.put(key, out)
         return out
 
     def _result(self, tree: A.Query, frames: list) -> DataFrame:
@@ -157,22 +250,77 @@ class GraphSession:
             for label, df in graph.nodes.items():
                 if self.graph.nodes.get(label) is not df:
                     graph = graph.with_node(label, _cut(df))
+        self._set(graph)
+
+    def _set(self, graph: Graph) -> None:
         self.graph = graph
         if self._cache is not None:
-            for df in self._cache.values():
-                df.unpersist()
             self._cache.clear()
 
     def explain(self, query: str, parameters: dict[str, Any] | None = None, mode: str = "formatted") -> str:
-        """Spark's plan of a query."""
-        df = self.cypher(query, parameters)
+        """Spark's plan of a query; its updates don't take effect."""
+        before = self.graph
+        try:
+            df = self._run(query, parameters or {})
+        finally:
+            self.graph = before
         return self.spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
 
     def run_all(self, queries: list[str]) -> list[DataFrame]:
         """Dependent queries in the order that their labels and properties require."""
         from trellis.plans.dependencies import ordered
 
-        return [self.cypher(q) for q in ordered(queries)]
+        with self.transaction():
+            return [self.cypher(q) for q in ordered(queries)]
+
+    def compose(self, queries: list[str], parameters: dict[str, Any] | None = None) -> DataFrame:
+        """Dependent queries as one: in the order that they require, all or none; the result of the last that returns rows.
+
+        Every query reads the tables that those before it made, so what comes back is one lazy plan over all of them.
+        """
+        from trellis.plans.dependencies import ordered
+
+        out = None
+        with self.transaction():
+            for q in ordered(list(dict.fromkeys(queries))):
+                df = self.cypher(q, parameters)
+                out = df if df.columns or out is None else out
+        return out
+
+
+class ResultCache:
+    """Cached results: the ``entries`` used last, each for ``seconds`` at most."""
+
+    def __init__(self, entries: int, seconds: float | None):
+        self.entries, self.seconds = entries, seconds
+        self.hits = self.misses = self.evictions = 0
+        self._kept: OrderedDict[tuple, tuple[float, DataFrame]] = OrderedDict()
+
+    def get(self, key: tuple) -> DataFrame | None:
+        if key in self._kept:
+            at, df = self._kept[key]
+            if self.seconds is None or time.monotonic() - at <= self.seconds:
+                self._kept.move_to_end(key)
+                self.hits += 1
+                return df
+            self._drop(key)
+        self.misses += 1
+        return None
+
+    def put(self, key: tuple, df: DataFrame) -> DataFrame:
+        self._kept[key] = (time.monotonic(), df.cache())
+        while len(self._kept) > self.entries:
+            self._drop(next(iter(self._kept)))
+        return self._kept[key][1] if key in self._kept else df
+
+    def _drop(self, key: tuple) -> None:
+        self._kept.pop(key)[1].unpersist()
+        self.evictions += 1
+
+    def clear(self) -> None:
+        for _, df in self._kept.values():
+            df.unpersist()
+        self._kept.clear()
 
 
 class GraphBuilder:

@@ -38,9 +38,24 @@ class IncrementalView:
     rewrites the version it wrote before, so results don't depend on retries.
     """
 
-    def __init__(self, path: str, key: str, order: str, on_change: Callable[[DataFrame, int], None] | None = None):
+    def __init__(
+        self, path: str, key: str, order: str, on_change: Callable[[DataFrame, int], None] | None = None, aggregates: dict[str, tuple[str, str]] | None = None,
+    ):
+        """``aggregates``: {column: (source column, sum | count | min | max)} makes a view of running values by key
+        instead of the newest rows; such a view only grows by upserts."""
         self.path, self.key, self.order, self.on_change = path, key, order, on_change
-        self.version = -1
+        self.aggregates, self.version = aggregates, -1
+
+    def _after(self, before: DataFrame | None, batch: DataFrame) -> DataFrame:
+        if self.aggregates is None:
+            columns = [c for c in batch.columns if c != "record_type"]
+            return apply_changes(batch.select(*columns).limit(0) if before is None else before, batch, self.key, self.order)
+        made = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+        rows = batch.where("record_type <> 'DELETE'") if "record_type" in batch.columns else batch
+        new = rows.groupBy(self.key).agg(*[made[fn](quoted(c)).alias(n) for n, (c, fn) in self.aggregates.items()])
+        again = {n: F.sum if fn == "count" else made[fn] for n, (_, fn) in self.aggregates.items()}
+        both = new if before is None else before.select(*new.columns).unionByName(new)
+        return both.groupBy(self.key).agg(*[fn(quoted(n)).alias(n) for n, fn in again.items()])
 
     def snapshot(self, spark) -> DataFrame | None:
         return spark.read.parquet(f"{self.path}/v{self.version}") if self.version >= 0 else None
@@ -50,11 +65,9 @@ class IncrementalView:
         spark = batch.sparkSession
         if batch_id <= self.version:
             self.version = batch_id - 1
-        columns = [c for c in batch.columns if c != "record_type"]
         before = self.snapshot(spark)
-        if before is None:
-            before = batch.select(*columns).limit(0)
-        after = apply_changes(before, batch, self.key, self.order)
+        after = self._after(before, batch)
+        before = after.limit(0) if before is None else before
         after.write.mode("overwrite").parquet(f"{self.path}/v{batch_id}")
         if self.on_change is not None:
             self.on_change(changelog(before, spark.read.parquet(f"{self.path}/v{batch_id}"), self.key), batch_id)

@@ -406,3 +406,223 @@ def _lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineage.add("joined", "customer", "nation")
     lineage.add("report", "joined")
     return spark.createDataFrame([(n, s) for n in ("joined", "report") for s in sorted(lineage.provenance(n))], "name string, source string")
+
+
+# preparation of data sets
+@plain("flattened_claims", "SELECT n_nationkey AS item_id, 'P1' AS claim_property, 'c' || n_nationkey AS claim_id, 'normal' AS rank, 'P1' AS snak_property, 'Q' || n_regionkey AS snak_value, 'mainsnak' AS snak_type FROM nation UNION ALL SELECT n_nationkey, 'P1', 'c' || n_nationkey, 'normal', 'P2', n_name, 'qualifier' FROM nation")
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.sources.preparation import flatten_claims
+
+    shape = F.format_string('{"P1":[{"id":"c%d","mainsnak":{"property":"P1","datavalue":{"value":{"id":"Q%d","numeric":1}}},"qualifiers":{"P2":[{"property":"P2","datavalue":{"value":"%s"}}]}}]}', "n_nationkey", "n_regionkey", "n_name")
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", shape.alias("claims"))
+    return flatten_claims(nation, "n_nationkey").select("item_id", "claim_property", "claim_id", "rank", "snak_property", "snak_value", "snak_type")
+
+
+@plain("geolocated_lines", "SELECT 'Q' || c_custkey AS id, c_name AS labels FROM customer WHERE c_custkey % 3 = 0")
+def _geolocated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.sources.preparation import geolocated
+
+    place = F.when(F.col("c_custkey") % 3 == 0, '{"P625":{"latitude":1}}').otherwise("{}")
+    shape = F.format_string('{"id":"Q%d","labels":{"en":"%s","de":"x"},"claims":%s},', "c_custkey", "c_name", place)
+    lines = spark.read.parquet(f"{sf_dir}/customer.parquet").select(shape.alias("value"))
+    return geolocated(lines.union(spark.createDataFrame([("latitude no json",), ("[",)], "value string"))).select("id", "labels")
+
+
+@plain("tagged_nodes", "SELECT key, value, count(*) AS count FROM (SELECT 'brand' AS key, p_brand AS value FROM part WHERE p_size > 10 UNION ALL SELECT 'source:size', p_size::VARCHAR FROM part WHERE p_size > 10) GROUP BY 1, 2")
+def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of a trivial family alone don't keep a node."""
+    from trellis.sources.preparation import tag_tally, tagged_nodes
+
+    size = F.col("p_size").cast("string")
+    tags = F.when(F.col("p_size") > 10, F.create_map(F.lit("brand"), "p_brand", F.lit("source:size"), size)).otherwise(F.create_map(F.lit("source:size"), size))
+    return tag_tally(tagged_nodes(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", tags.alias("tags")), ["source", "note"]))
+
+
+@plain("rows_by_either_code", "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_partkey::VARCHAR LIKE '11%' OR l_suppkey::VARCHAR LIKE '11%'")
+def _either(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.sources.preparation import by_either
+
+    return by_either(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_partkey", "l_suppkey"], "11").select("l_orderkey", "l_partkey")
+
+
+@plain("points_in_polygons", "SELECT c_custkey AS k, i AS polygon FROM (SELECT c_custkey, c_acctbal / 1000.0 AS x, (c_custkey % 40) / 4.0 AS y FROM customer) p, range(0, 10) t(i) WHERE x >= i AND x < i + 1 AND y >= 0 AND y < i + 0.5 AND NOT (x >= i + 0.25 AND x < i + 0.75 AND y >= 0.125 AND y < 0.375)")
+def _spatial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as points, ten rectangles with a hole each as polygons."""
+    from trellis.sources.preparation import points_in_polygons
+
+    points = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"), (F.col("c_acctbal") / 1000.0).alias("x"), ((F.col("c_custkey") % 40) / 4.0).alias("y"))
+    place = lambda x, y: F.struct(x.cast("double").alias("x"), F.lit(float(y)).alias("y") if not hasattr(y, "cast") else y.cast("double").alias("y"))
+    i, top = F.col("id"), F.col("id") + 0.5
+    outer = F.array(place(i, 0), place(i + 1, 0), place(i + 1, top), place(i, top), place(i, 0))
+    hole = F.array(place(i + 0.25, 0.125), place(i + 0.25, 0.375), place(i + 0.75, 0.375), place(i + 0.75, 0.125), place(i + 0.25, 0.125))
+    polygons = spark.range(10).select(i.alias("polygon"), F.array(outer, hole).alias("rings"))
+    return points_in_polygons(points, polygons).select("k", "polygon")
+
+
+@plain("points_outside", "SELECT c_custkey AS k FROM customer WHERE NOT (c_acctbal >= 0 AND c_acctbal < 5000)")
+def _outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.sources.preparation import points_in_polygons
+
+    points = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"), (F.col("c_acctbal") / 1000.0).alias("x"), F.lit(0.5).alias("y"))
+    square = [[(0.0, 0.0), (5.0, 0.0), (5.0, 1.0), (0.0, 1.0), (0.0, 0.0)]]
+    return points_in_polygons(points, spark.createDataFrame([(square,)], "rings array<array<struct<x:double,y:double>>>"), how="anti").select("k")
+
+
+# paths, plans, transactions, analytics
+cypher("path_nodes", "MATCH p = (c:Customer)-[:LIVES_IN]->(n:Nation)-[:IN_REGION]->(r:Region) WHERE n.n_nationkey < 3 RETURN nodes(p)[0] AS a, nodes(p)[1] AS b, nodes(p)[2] AS c, size(relationships(p)) AS d, length(p) AS l",
+       "SELECT c_custkey AS a, c_nationkey AS b, n_regionkey AS c, 2::BIGINT AS d, 2::BIGINT AS l FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey < 3")
+
+
+@plain("explain_clause", "SELECT true AS lines, 25::BIGINT AS nations")
+def _explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = graph(spark, sf_dir)
+    lines = s.cypher("EXPLAIN MATCH (n:Nation) DETACH DELETE n")
+    return s.cypher("MATCH (n:Nation) RETURN count(n) AS nations").select(F.lit(lines.count() >= 0).alias("lines"), "nations")
+
+
+@plain("profile_clause", "SELECT unnest(['parse', 'compile', 'plan', 'run']) AS phase, unnest([NULL, NULL, NULL, (SELECT count(*) FROM part WHERE p_size > 7)]) AS rows")
+def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph(spark, sf_dir).cypher("PROFILE MATCH (p:Part) WHERE p.p_size > 7 RETURN p.p_name AS n").where("seconds >= 0").select("phase", "rows")
+
+
+@plain("transactions", "SELECT count(*) AS kept, 0::BIGINT AS undone, 1::BIGINT AS saved FROM region WHERE r_regionkey < 2")
+def _transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = graph(spark, sf_dir)
+    with s.transaction():
+        s.cypher("MATCH (r:Region) WHERE r.r_regionkey < 2 SET r.mark = 'kept'")
+    try:
+        with s.transaction():
+            s.cypher("MATCH (r:Region) SET r.other = 1")
+            s.cypher("MATCH (r:Region) RETURN no_such_function(r)")
+    except ValueError:
+        pass
+    s.begin()
+    s.cypher("MATCH (r:Region {r_regionkey: 3}) SET r.third = 1")
+    s.begin("here")
+    s.cypher("MATCH (r:Region) SET r.third = 2")
+    s.rollback("here")
+    s.commit()
+    return s.cypher("MATCH (r:Region) RETURN count(r.mark) AS kept, count(r.other) AS undone, sum(r.third) AS saved")
+
+
+@plain("composed_queries", "SELECT n_name AS n, count(c_custkey) AS c FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+def _composed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph(spark, sf_dir).compose(["MATCH (n:Nation) WHERE n.customers IS NOT NULL RETURN n.n_name AS n, n.customers AS c", "MATCH (n:Nation)<-[:LIVES_IN]-(c:Customer) WITH n, count(c) AS k SET n.customers = k"])
+
+
+@plain("validated_query", "SELECT * FROM (VALUES ('error', 'the variable ''m'' is not defined'), ('error', 'there is no function ''frobnicate'''), ('warning', 'there is no label ''Natoin''; did you mean ''Nation''?')) t(severity, message)")
+def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph(spark, sf_dir).validate("MATCH (nation:Natoin) RETURN m.x AS x, frobnicate(nation.n_name) AS y")
+    return spark.createDataFrame([(f.severity, f.message) for f in found], "severity string, message string")
+
+
+@plain("query_analytics", "SELECT 30::BIGINT AS runs, 1::BIGINT AS failures, 15.5::DOUBLE AS mean, 15.5::DOUBLE AS p50, 1::BIGINT AS slower, 3::BIGINT AS hours, 30.0::DOUBLE AS worst")
+def _analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis import analytics
+
+    log = analytics.QueryLog()
+    for k in range(30):
+        log.add(f"MATCH (n) WHERE n.x > {k} RETURN n", k + 1.0, k == 0, 1_700_000_000 + 300 * k)
+    frame = log.frame(spark)
+    shown = analytics.latencies(frame).select("runs", "failures", "mean", "p50")
+    slower = analytics.regressions(frame, recent=10, factor=1.5).agg(F.count(F.lit(1)).alias("slower"))
+    hours = analytics.trends(frame, "1 hour").agg(F.count(F.lit(1)).alias("hours"))
+    return shown.crossJoin(slower).crossJoin(hours).crossJoin(analytics.slowest(frame, 1).select(F.col("seconds").alias("worst")))  # one row each
+
+
+# streams: the events table is read as a stream to its end
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _drained(out: DataFrame, spark: SparkSession, name: str, mode: str) -> DataFrame:
+    """The result of a streaming query that has read all there is."""
+    path = _folder(spark, name)
+    last = f"{path}/table"
+    write = out.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    write.foreachBatch(lambda batch, k: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(last)).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(last)
+
+
+@plain("stream_tumbling", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS window_count FROM events GROUP BY 1, 2")
+def _stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.streaming import windows
+
+    out = windows.tumbling(_events(spark, sf_dir), "1 hour", ["event_type"], time_col="ts")
+    return _drained(out, spark, "tumbling", "complete").select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "window_count")
+
+
+@plain("stream_dedup", "SELECT count(DISTINCT user_id) AS users FROM events")
+def _stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.streaming import windows
+
+    out = windows.deduplicated(_events(spark, sf_dir), ["user_id"], "ts", "3650 days").select("user_id")
+    return _drained(out, spark, "dedup", "append").agg(F.count("user_id").alias("users"))
+
+
+@plain("stream_map_join", "SELECT event_type, c_mktsegment, count(*) AS c FROM events JOIN customer ON user_id = c_custkey WHERE event_type <> 'view' GROUP BY 1, 2")
+def _stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filtered, joined with a table and aggregated on the way."""
+    from trellis.streaming.joins import stream_table_join
+
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment")
+    out = stream_table_join(_events(spark, sf_dir).where("event_type <> 'view'").select("event_type", "user_id"), customers, "user_id", "c_custkey", "inner")
+    return _drained(out.groupBy("event_type", "c_mktsegment").agg(F.count(F.lit(1)).alias("c")), spark, "join", "complete")
+
+
+@plain("stream_window_records", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, count(*) AS held FROM events GROUP BY 1")
+def _stream_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.streaming import windows
+
+    out = windows.records(spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_id"), F.window("ts", "1 hour"), "ts")
+    return out.select(F.col("__window_start__").cast("timestamp_ntz").alias("start"), F.col("__window_count__").alias("n"), F.size("__window_records__").cast("long").alias("held"))
+
+
+@plain("punctuated_stream", "SELECT event_type, count(*) AS c FROM events WHERE event_type <> 'view' GROUP BY 1")
+def _punctuated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one kind are watermarks only."""
+    from trellis.streaming import windows
+
+    out = windows.punctuated(_events(spark, sf_dir), "event_type", "view", "ts").groupBy("event_type").agg(F.count(F.lit(1)).alias("c"))
+    return _drained(out, spark, "punctuated", "complete")
+
+
+def _view(spark: SparkSession, name: str, batches: list[DataFrame], **more):
+    from trellis.streaming.views import IncrementalView
+
+    view = IncrementalView(_folder(spark, name), **more)
+    for k, batch in enumerate(batches):
+        view.apply(batch, k)
+    return view
+
+
+@plain("incremental_view", "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey + 1 ELSE o_custkey END AS v FROM orders WHERE o_orderkey % 4 <> 1 AND o_orderkey % 5 <> 0")
+def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inserts, then updates and deletes; the state becomes a label of a graph and is queried there."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("v"), F.lit("INSERT").alias("record_type"), F.lit(1).alias("at"))
+    later = rows.where("k % 4 < 2").withColumn("record_type", F.expr("if(k % 4 = 0, 'UPDATE', 'DELETE')")).withColumns({"v": F.col("v") + 1, "at": F.lit(2)})
+    view = _view(spark, "view", [rows, later], key="k", order="at")
+    s = graph(spark, sf_dir)
+    view.as_entity(s, "Live")
+    kept = view.query(spark, "k % 5 <> 0").select(F.col("k").alias("q"))
+    return s.cypher("MATCH (n:Live) RETURN id(n) AS k, n.v AS v").join(kept, F.col("k") == F.col("q"), "left_semi")
+
+
+@plain("aggregating_view", "SELECT user_id, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1")
+def _aggregating(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id")
+    batches = [events.where(f"event_id % 3 = {k}") for k in range(3)]
+    made = {"n": ("event_id", "count"), "first": ("event_id", "min"), "last": ("event_id", "max")}
+    return _view(spark, "aggregates", batches, key="user_id", order="event_id", aggregates=made).snapshot(spark)
+
+
+@plain("stream_metrics", "SELECT count(*) AS processed, true AS batches FROM events")
+def _stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.streaming import windows
+
+    path = _folder(spark, "metrics")
+    query = _events(spark, sf_dir).writeStream.format("noop").option("checkpointLocation", path).trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = windows.metrics(query)
+    return spark.createDataFrame([(int(found["processed"]), found["batches"] > 0)], "processed long, batches boolean")
