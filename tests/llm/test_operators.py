@@ -523,17 +523,65 @@ def test_warc_framing():
 # the pipeline
 
 
-def test_pipeline_stages(spark, tmp_path):
-    import corpus_pipeline
+def test_pipeline_stages_equal_plain_lists(spark, tmp_path, monkeypatch):
+    """Each stage on its own input, with nulls, repeats, empty and clashing columns, against a list version."""
+    import zlib
 
-    for t in ("documents", "labels"):
-        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    columns, seen = docs.columns, [docs.count()]
-    for name, step in corpus_pipeline.STAGES[:3]:
-        docs = step(spark, docs, str(tmp_path))
-        assert docs.columns == columns, name
-        seen.append(docs.count())
-    assert seen == sorted(seen, reverse=True) and seen[-1] > 0.7 * seen[0]
-    pieces = corpus_pipeline.run(spark, str(tmp_path))
-    assert pieces.select("doc_id").distinct().count() == seen[-1]
+    import corpus_pipeline
+    import public_tokenizers
+    import test_pii
+    from tokenizers import Tokenizer
+
+    from trellis.llm import queries
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = [(9001, None, "en", None, None), (9002, "", "en", "s", 0), (9003, "  ", None, "s", 2), (None, "no id at all, mail a.b@x.org", "en", "s", 5), (9004, "twice the same " * 9, "en", "s", 9), (9005, "twice the same " * 9, "en", "s", 9), (9004, "twice the same " * 9, "en", "s", 9)]
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(odd, docs.select("doc_id", "text", "lang", "source", "n_chars").schema))
+    docs = docs.withColumns({"rejected": F.lit("r"), "same_node": F.lit(1), "kept_id": F.lit(2)}).repartition(3)
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs, steps = spark.read.parquet(f"{tmp_path}/documents.parquet"), dict(corpus_pipeline.STAGES)
+    listed = lambda df: sorted(map(tuple, df.collect()), key=str)
+
+    rows = listed(docs)
+    clean = steps["toxicity"](spark, docs, str(tmp_path))
+    rate = toxicity.train(docs, labels, {k: f() for k, f in toxicity.CHAIN.items()}).scorer()
+    assert clean.columns == docs.columns and listed(clean) == sorted((r for r in rows if not r[1] or rate(r[1])[-1] < 0.5), key=str)
+
+    clean.write.parquet(f"{tmp_path}/clean")
+    clean = spark.read.parquet(f"{tmp_path}/clean")
+    rows = listed(clean)
+    once = steps["near_duplicates"](spark, clean, str(tmp_path))
+    roots, least = brute_classes([r[:2] for r in rows]), {}
+    for r, root in zip(rows, roots, strict=True):
+        least.setdefault(root, []).append((r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).digest()[:16], r))
+    expected = sorted((min(v, key=lambda x: x[:3])[3] for v in least.values()), key=str)
+    assert once.columns == docs.columns and listed(once) == expected
+
+    once.write.parquet(f"{tmp_path}/once")
+    once = spark.read.parquet(f"{tmp_path}/once")
+    rows = listed(once)
+    hidden = steps["pii"](spark, once, str(tmp_path))
+    monkeypatch.setattr(test_pii, "KEY", queries.PII_KEY)
+    made = [(r[0], test_pii.plain(r[1])[0] if r[1] is not None else None, *r[2:]) for r in rows]
+    made = sorted(((*r[:4], r[4] if r[1] is None else len(r[1]), *r[5:]) for r in made), key=str)
+    assert hidden.columns == docs.columns and listed(hidden) == made
+
+    hidden.write.parquet(f"{tmp_path}/hidden")
+    pieces = steps["packing"](spark, spark.read.parquet(f"{tmp_path}/hidden"), str(tmp_path)).collect()
+    coder, want, got = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), [], []
+    for r in made:
+        ids = [*coder.encode(r[1] or "", add_special_tokens=False).ids, 2]
+        parts = sorted((p.start, p.length, p.ids_crc32) for p in pieces if p.doc_id == r[0] and p.doc_tokens == len(ids))
+        got.append(parts)
+        want.append([(a, n, zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes())) for a, n, _ in parts])
+        assert sum(n for _, n, _ in parts) == len(ids) * sum(x[0] == r[0] and x[1] == r[1] for x in made)
+    assert got == want
+    line = sorted((p.sequence_id * 4096 + p.offset, p.length) for p in pieces)
+    assert [a for a, _ in line] == np.cumsum([0, *(n for _, n in line[:-1])]).tolist()
+
+    assert sorted((p.doc_id is None, p.doc_id or 0, p.start, p.length) for p in corpus_pipeline.run(spark, str(tmp_path)).collect())[0][3] > 0
+    spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    labels.limit(0).write.parquet(f"{tmp_path}/empty/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []

@@ -86,6 +86,8 @@ def test_byte_level_merges_equal_the_library():
         piece = "".join(rng.choice("etaoinsrhldcuéß日 ABC'.,0 ") for _ in range(rng.randint(1, 30)))
         expected = library.encode(piece, add_special_tokens=False).ids
         assert coder.encode(piece) == np.array(expected, "<u2").tobytes(), piece
+    for text in (" " * 300_000 + "a", "\n \n" * 100_000, "a" * 300_000, "!?" * 100_000, "1" * 300_000):
+        assert coder.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
     assert len(_byte_chars()) == 256
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.scratch import stage
+from trellis.llm.scratch import drop, stage
 
 MAX_ROUNDS = 60
 #: Rows of a key from which on it is joined apart: this number, or one in HOT_SHARE of all rows if that is more.
@@ -53,8 +53,9 @@ def connected(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if state == seen or not state.n:
             break
-        now = stage(_small_star(_large_star(now, state.n), state.n).where("a <> b").distinct(), "edges")
+        before, now = now, stage(_small_star(_large_star(now, state.n), state.n).where("a <> b").distinct(), "edges")
         state, seen = count(now), state
+        drop(before)
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in an Arrow batch: bounds a Python worker's memory where texts are long.
 BATCH_ROWS = 512
+_scopes: list[list[str]] = []
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -40,8 +43,28 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_dir(spark, name)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that are staged within are deleted at its end: what leaves it must have been written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    remove(df.sparkSession, df.staged_path)
 
 
 def free_name(names: list[str], wanted: str) -> str:

@@ -50,11 +50,17 @@ class ByteLevelEncoder(_Whole):
         vocabulary = self._whole.get_vocab(with_added_tokens=False)
         # ids rise with the merges, so they are the ranks of a merge table; tests compare both libraries
         ranks = {bytes(back[c] for c in token): i for token, i in vocabulary.items() if token not in self._added}
-        merge = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self._encoder = PatternEncoder(BYTE_LEVEL_PATTERN, lambda text: merge(text.encode("utf-8")), _bytes_of)
+        if max(ranks.values(), default=0) >= 1 << 16:
+            raise ValueError(f"{path} has ids over 16 bits")
+        self._fast = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        return b"".join(self._encoder.parts(text)) if self._plain(text) else self._library(text)
+        if not self._plain(text):
+            return self._library(text)
+        try:
+            return self._fast.encode_to_numpy(text, disallowed_special=()).astype("<u2").tobytes()
+        except ValueError:  # a run of white space that is too long for its pattern engine
+            return self._library(text)
 
 
 class WordEncoder(_Whole):
