@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import bagminhash, packing, pii, toxicity
+from trellis.llm import bagminhash, packing, pii, scratch, toxicity
 from trellis.llm.queries import MIXTURE_TEMPERATURE, PII_KEY
 
 
@@ -45,12 +45,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to documents; each stage's result is written to the shared folder and reread."""
-    from trellis.llm.scratch import stage
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stage(docs, name)
-    return docs
+    """Apply STAGES to documents; each stage's result is written to the shared folder and reread.
+
+    A stage's own intermediate tables and its input are deleted when its result is written; those of the last
+    stage stay for whoever reads the result.
+    """
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, step in STAGES[:-1]:
+        with scratch.scope(spark):
+            out = step(spark, docs, sf_dir)
+            before, path = path, scratch.new_dir(spark, name)
+            out.write.parquet(path)
+        if before is not None:
+            scratch.remove(spark, before)
+        docs = spark.read.schema(out.schema).parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
