@@ -23,6 +23,7 @@ from trellis.functions.typed import Typed, make
 from trellis.operators.paths import _cut
 from trellis.plans import ast as A
 from trellis.plans.compiler import Compiler
+from trellis.plans.limits import Limits
 from trellis.plans.parser import parse
 from trellis.plans.scope import ID, SOURCE, TARGET, quoted
 from trellis.plans.validation import Finding, validate
@@ -36,8 +37,8 @@ _VOLATILE = {"rand", "randomuuid", "timestamp", "now", "date", "datetime", "loca
 class GraphSession:
     """Registers tables as labels and relationship types, and runs queries on them."""
 
-    def __init__(self, spark: SparkSession, checkpoint_every: int = 20):
-        self.spark, self.graph = spark, Graph()
+    def __init__(self, spark: SparkSession, checkpoint_every: int = 20, limits: Limits | None = None):
+        self.spark, self.graph, self.limits = spark, Graph(), limits
         self.checkpoint_every, self._writes = checkpoint_every, 0
         self.udfs: dict[str, Callable[..., Typed]] = {}
         self.procedures: dict[str, Callable] = {
@@ -180,6 +181,8 @@ class GraphSession:
         return self.spark.createDataFrame(self.profile(rest, given), "phase string, seconds double, rows long")
 
     def _timed(self, query: str, given: dict[str, Any]) -> DataFrame:
+        if self.limits is not None:
+            self.limits.check(query)
         began = time.perf_counter()
         try:
             out = self._run(query, given)

@@ -626,3 +626,44 @@ def _stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     query.awaitTermination()
     found = windows.metrics(query)
     return spark.createDataFrame([(int(found["processed"]), found["batches"] > 0)], "processed long, batches boolean")
+
+
+# graphs of folders and stars, limits
+@plain("discovered_graph", "SELECT n_name AS n, count(*) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def _discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.sources.discovery import discover
+
+    entities = {"Customer": ("customer", "c_custkey"), "Nation": ("nation", "n_nationkey"), "Absent": ("absent", "id")}
+    edges = {"IN": ("customer", "c_custkey", "c_nationkey", "Customer", "Nation"), "NOT": ("absent", "a", "b", "Absent", "Nation")}
+    return discover(spark, sf_dir, entities, edges).cypher("MATCH (c:Customer)-[:IN]->(n:Nation) RETURN n.n_name AS n, count(c) AS c")
+
+
+@plain("star_schema", "SELECT c_mktsegment AS s, p_brand AS b, count(*) AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey WHERE p_size < 4 GROUP BY 1, 2")
+def _star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.sources.discovery import GraphPipeline
+
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    sales = read("lineitem").join(read("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    sales = sales.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("sale"), "l_partkey", "o_custkey")
+    p = GraphPipeline(spark).star("Sale", sales, "sale", {"Part": (read("part"), "p_partkey", "l_partkey"), "Customer": (read("customer"), "c_custkey", "o_custkey")})
+    return p.build().cypher("MATCH (c:Customer)<-[:HAS_CUSTOMER]-(s:Sale)-[:HAS_PART]->(p:Part) WHERE p.p_size < 4 RETURN c.c_mktsegment AS s, p.p_brand AS b, count(*) AS c")
+
+
+@plain("query_limits", "SELECT 3::BIGINT AS allowed, true AS refused, true AS costly")
+def _limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.errors import LimitExceededError
+    from trellis.plans.limits import Limits
+
+    s = graph(spark, sf_dir)
+    s.limits, allowed, refused, costly = Limits(most=20, rate=1.0, burst=3, clock=lambda: 0.0), 0, False, False
+    try:
+        s.cypher("MATCH (a)-[:NEXT*]->(b) RETURN b")
+    except LimitExceededError:
+        costly = True
+    for _ in range(4):
+        try:
+            s.cypher("MATCH (n:Nation) RETURN n.n_name AS n")
+            allowed += 1
+        except LimitExceededError:
+            refused = True
+    return spark.createDataFrame([(allowed, refused, costly)], "allowed long, refused boolean, costly boolean")
