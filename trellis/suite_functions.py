@@ -638,15 +638,14 @@ def _discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover(spark, sf_dir, entities, edges).cypher("MATCH (c:Customer)-[:IN]->(n:Nation) RETURN n.n_name AS n, count(c) AS c")
 
 
-@plain("star_schema", "SELECT c_mktsegment AS s, p_brand AS b, count(*) AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey WHERE p_size < 4 GROUP BY 1, 2")
+@plain("star_schema", "SELECT c_mktsegment AS s, o_orderstatus AS t, count(*) AS c FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 100000.0 GROUP BY 1, 2")
 def _star(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trellis.sources.discovery import GraphPipeline
 
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    sales = read("lineitem").join(read("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    sales = sales.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("sale"), "l_partkey", "o_custkey")
-    p = GraphPipeline(spark).star("Sale", sales, "sale", {"Part": (read("part"), "p_partkey", "l_partkey"), "Customer": (read("customer"), "c_custkey", "o_custkey")})
-    return p.build().cypher("MATCH (c:Customer)<-[:HAS_CUSTOMER]-(s:Sale)-[:HAS_PART]->(p:Part) WHERE p.p_size < 4 RETURN c.c_mktsegment AS s, p.p_brand AS b, count(*) AS c")
+    orders, customers = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
+    dimensions = {"Customer": (customers, "c_custkey", "o_custkey"), "Status": (orders.select(F.col("o_orderstatus").alias("status")), "status", "o_orderstatus")}
+    s = GraphPipeline(spark).star("Sale", orders, "o_orderkey", dimensions).build()
+    return s.cypher("MATCH (c:Customer)<-[:HAS_CUSTOMER]-(s:Sale)-[:HAS_STATUS]->(t:Status) WHERE s.o_totalprice > 100000.0 RETURN c.c_mktsegment AS s, t.status AS t, count(*) AS c")
 
 
 @plain("query_limits", "SELECT 3::BIGINT AS allowed, true AS refused, true AS costly")
@@ -667,3 +666,38 @@ def _limits(spark: SparkSession, sf_dir: str) -> DataFrame:
         except LimitExceededError:
             refused = True
     return spark.createDataFrame([(allowed, refused, costly)], "allowed long, refused boolean, costly boolean")
+
+
+@plain("configured_functions", "SELECT p_partkey AS k, floor(sqrt(p_size))::BIGINT AS root FROM part")
+def _configured_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function by module and name, and an output as CSV."""
+    from trellis.sources import pipeline
+
+    config = {
+        "sources": {"entities": [{"entity_type": "Part", "uri": f"{sf_dir}/part.parquet", "id_col": "p_partkey"}]},
+        "functions": [{"module": "math", "names": ["isqrt"]}],
+        "queries": [{"id": "roots", "inline": "MATCH (p:Part) RETURN id(p) AS k, toInteger(isqrt(p.p_size)) AS root"}],
+    }
+    return pipeline.run(spark, config)["roots"]
+
+
+@plain("graph_sink", "SELECT (SELECT count(*) FROM nation) AS nodes, (SELECT count(*) FROM customer) AS relationships, true AS batched")
+def _graph_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements for a graph database, sent in batches; what arrives is counted."""
+    from trellis.sources import sinks
+
+    context = spark.sparkContext
+    nodes, edges, batches = (context.accumulator(0) for _ in range(3))
+
+    def connect(counter):
+        def send(statement: str, parameters: dict) -> None:
+            counter.add(len(parameters["rows"]) if statement.startswith("UNWIND $rows") else 0)
+            batches.add(1)
+
+        return lambda: send
+
+    nation, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "customer"))
+    sinks.write_graph(nation, sinks.node_statement("Nation", "n_nationkey"), connect(nodes), 10)
+    links = customer.select(F.col("c_custkey").alias("source"), F.col("c_nationkey").alias("target"), F.create_map(F.lit("since"), F.lit(1)).alias("props"))
+    sinks.write_graph(links, sinks.relationship_statement("LIVES_IN", ("Customer", "c_custkey"), ("Nation", "n_nationkey")), connect(edges), 100)
+    return spark.createDataFrame([(nodes.value, edges.value, batches.value >= 4)], "nodes long, relationships long, batched boolean")
