@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 from trellis.errors import CypherSemanticError
 from trellis.plans.scope import ID, SOURCE, TARGET
 
+PLANS = 256
+
 
 @dataclass(frozen=True)
 class Relationship:
@@ -32,12 +35,24 @@ class Graph:
 
     nodes: dict[str, DataFrame] = field(default_factory=dict)
     rels: dict[str, Relationship] = field(default_factory=dict)
+    #: Plans of queries that only read, by query and parameters, the ``PLANS`` used last.
+    plans: OrderedDict = field(default_factory=OrderedDict, compare=False, repr=False)
+
+    def plan(self, key: tuple) -> DataFrame | None:
+        if key in self.plans:
+            self.plans.move_to_end(key)
+        return self.plans.get(key)
+
+    def keep_plan(self, key: tuple, df: DataFrame) -> None:
+        self.plans[key] = df
+        while len(self.plans) > PLANS:
+            self.plans.popitem(last=False)
 
     def with_node(self, label: str, df: DataFrame) -> Graph:
-        return replace(self, nodes=self.nodes | {label: df})
+        return replace(self, nodes=self.nodes | {label: df}, plans=OrderedDict())
 
     def with_rel(self, kind: str, rel: Relationship) -> Graph:
-        return replace(self, rels=self.rels | {kind: rel})
+        return replace(self, rels=self.rels | {kind: rel}, plans=OrderedDict())
 
     def labels(self, wanted: tuple[str, ...]) -> tuple[str, ...]:
         return tuple(x for x in (wanted or tuple(self.nodes)) if x in self.nodes)

@@ -214,6 +214,9 @@ class GraphSession:
         steady = not any(isinstance(n, A.Call) and n.name.lower() in _VOLATILE for n in A.walk(tree.statements))
         if self._cache is not None and reading and steady and (kept := self._cache.get(key)) is not None:
             return kept
+        own = {n.name.lower() for n in A.walk(tree.statements) if isinstance(n, (A.Call, A.CallProcedure))} & (self.udfs.keys() | self.procedures.keys())
+        if reading and steady and not own and (plan := self.graph.plan(key)) is not None:
+            return plan if self._cache is None else self._cache.put(key, plan)
         graph, frames = self.graph, []
         for statement in tree.statements:
             compiler = Compiler(self.spark, graph, given, self.udfs, self.procedures)
@@ -222,7 +225,10 @@ class GraphSession:
         out = self._result(tree, frames)
         if graph is not self.graph:
             self._commit(graph)
-        elif self._cache is not None and reading and steady:
+            return out
+        if reading and steady and not own:
+            graph.keep_plan(key, out)
+        if self._cache is not None and reading and steady:
             out = self._cache.put(key, out)
         return out
 
