@@ -219,6 +219,8 @@ def test_collision_counting_verifies_few():
 def test_collision_counting_with_repeats_and_ties(spark):
     rows = [(50, [1.0, 2.0], 1), (50, [1.0, 2.0], 2), (50, [3.0, -1.0], 3), (7, [2.0, 4.0], 4), (3, [1.0, 2.0], 5), (9, [1.0], 6), (100, [2.0], 7)]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int"), F.col("vec_id") % 50 == 0, 5)
+    nulls = ann.search(spark.createDataFrame([(0, [1.0]), (None, [2.0]), (4, [2.0])], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, 5)
+    assert sorted((r.rank, r.vec_id) for r in nulls.collect()) == [(1, 4), (2, None)]
     out = {}
     for r in sorted(got.collect(), key=lambda r: (r.query_id, r.rank)):
         out.setdefault(r.query_id, []).append((r.rank, r.vec_id))

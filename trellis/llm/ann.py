@@ -17,8 +17,8 @@ each block and brings back k rows, which are merged.  Only vectors of equal leng
 
 Defined results: null, zero or non-finite vectors take no part; equal scores are ordered by
 the smaller id; a row is its own query's neighbour never, but other rows may share its id or its
-vector; rows that repeat an id are queries of their own; with fewer than k candidates all are
-returned; an empty table gives no rows.
+vector; rows that repeat an id are queries of their own; a null id is a neighbour after all others
+of its score, and no query; with fewer than k candidates all are returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,8 @@ ROW_BLOCK, QUERY_BATCH = 32_768, 16
 #: Rows of a block whose own neighbours set the scale of the radii.
 SCALE_ROWS = 32
 SEED = 7
+#: Stands for a null id in a block.
+_NO_ID = (1 << 63) - 1
 
 
 class Arrays:
@@ -117,7 +120,7 @@ def search(
     vector = F.col(vector_col).cast("array<double>")
     rows = vectors.where(usable(vectors, vector_col)).select(
         F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), vector.alias("x"),
-        F.size(vector_col).alias("width"), F.coalesce(is_query, F.lit(False)).alias("query"),
+        F.size(vector_col).alias("width"), F.coalesce(is_query & F.col(id_col).isNotNull(), F.lit(False)).alias("query"),
     )
     rows = stage(rows, "vectors")  # row numbers are fixed from here on
     blocks = max(1, -(-rows.count() // ROW_BLOCK))
@@ -137,7 +140,7 @@ def search(
                     continue
                 width, number, kind = keys[a]
                 part = batch.slice(a, b - a)
-                rid, ids, x = part.column(3).to_numpy(), part.column(4).to_numpy(zero_copy_only=False), matrix(part.column(5), width)
+                rid, ids, x = part.column(3).to_numpy(), part.column(4).fill_null(_NO_ID).to_numpy(), matrix(part.column(5), width)
                 if now != (width, number):
                     now, held, arrays = (width, number), [], None
                 if kind == 0:
@@ -156,11 +159,13 @@ def search(
                     for q, (place, scores) in enumerate(found, s):
                         for column, values in zip(out, ([rid[q]] * len(place), [ids[q]] * len(place), arrays.ids[place], scores), strict=True):
                             column.extend(values)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
+                made = [pa.array(c, t) for c, t in zip(out, schema.types, strict=True)]
+                made[2] = pc.if_else(pc.equal(made[2], _NO_ID), pa.scalar(None, pa.int64()), made[2])
+                yield pa.RecordBatch.from_arrays(made, schema=schema)
 
     order = ["width", "block", "kind", "rid"]
     dealt = data.unionByName(asked).repartition(blocks, "width", "block").sortWithinPartitions(*order)
     found = dealt.mapInArrow(run, f"query long, query_id long, `{id_col}` long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), id_col)
+    best = Window.partitionBy("query").orderBy(F.desc("score"), F.col(id_col).asc_nulls_last())
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", id_col, "score")
