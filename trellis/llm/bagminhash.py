@@ -160,7 +160,7 @@ def _judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     A pivot's text goes once to each block of its nodes; a worker holds one pivot at a time.
     """
     blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"), F.count(F.lit(1)).alias("c"))
-    blocks = stage(blocks, "pivots")
+    blocks = stage(blocks, "blocks")
     dealt = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("s")
     members = spread_join(pairs, blocks, "a", pairs.count()).select("a", dealt, "b")
     members = members.join(texts.select(F.col("node").alias("b"), "text"), "b").select("a", "s", "b", "text")
@@ -282,7 +282,7 @@ def _classified(docs: DataFrame, threshold: float, id_col: str, text_col: str) -
     score = shared.groupBy("node").agg(F.sum("c").alias("score"))
     shared = shared.join(score, "node").select("key", "node", "score")
     pivots = shared.groupBy("key").agg(F.max(F.struct("score", "node")).alias("top"), F.count(F.lit(1)).alias("c"))
-    pivots = pivots.select("key", F.col("top.node").alias("pivot"), "c")
+    pivots = stage(pivots.select("key", F.col("top.node").alias("pivot"), "c"), "pivots")
     members = spread_join(shared.select("key", "node"), pivots, "key", signed.count())
     pairs = stage(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node")

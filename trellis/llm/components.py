@@ -21,12 +21,16 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, n: int) -> DataFram
     """Inner join of ``rows`` with ``table``, a row for each key with the number ``c`` of its rows, without hot tasks.
 
     Keys with at least max(HOT_ROWS, n / HOT_SHARE) of the n rows are at most HOT_SHARE of them, so their part
-    of the table is broadcast; no other key holds more than that share of the rows that are shuffled.
+    of the table is broadcast; no other key holds more than that share of the rows that are shuffled.  Where there
+    is no such key, it is a plain join.  ``table`` is read twice: a staged one is best.
     """
-    hot = F.col("c") >= max(HOT_ROWS, -(-n // HOT_SHARE))
-    few, rest = F.broadcast(table.where(hot)), table.where(~hot)
+    least = max(HOT_ROWS, -(-n // HOT_SHARE))
+    if (table.agg(F.max("c")).first()[0] or 0) < least:
+        return rows.join(table.drop("c"), key)
+    hot = F.col("c") >= least
+    few, rest = F.broadcast(table.where(hot).drop("c")), table.where(~hot).drop("c")
     cold = rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti").join(rest, key)
-    return rows.join(few, key).unionByName(cold).drop("c")
+    return rows.join(few, key).unionByName(cold)
 
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
@@ -53,9 +57,11 @@ def connected(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if state == seen or not state.n:
             break
-        before, now = now, stage(_small_star(_large_star(now, state.n), state.n).where("a <> b").distinct(), "edges")
+        large = stage(_large_star(now, state.n).where("a <> b").distinct(), "stars")
+        before, now = now, stage(_small_star(large, state.n).where("a <> b").distinct(), "edges")
         state, seen = count(now), state
         drop(before)
+        drop(large)
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

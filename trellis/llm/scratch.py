@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in an Arrow batch: bounds a Python worker's memory where texts are long.
 BATCH_ROWS = 512
+#: Characters of a plan's text: operators of many jobs would fill the driver with these texts.
+PLAN_CHARS = 20_000
 _scopes: list[list[str]] = []
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches that go to Python workers."""
+    """Bound the Arrow batches that go to Python workers, and the texts of plans that the driver keeps of each job."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_CHARS))
     return spark
 
 
