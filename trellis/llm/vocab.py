@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
@@ -73,28 +74,47 @@ class WordEncoder(_Whole):
 
     def __init__(self, path: str):
         super().__init__(path)
-        model, table, rest = self._whole.model, _byte_chars(), self._library
+        rest, (merge, ids) = self._library, self._merges()
 
         def piece(text: str) -> bytes:
-            symbols = text if text.isascii() else text.encode("utf-8").decode("latin-1").translate(table)
-            return _bytes_of([t.id for t in model.tokenize(symbols)])
+            pairs = (text if text.isascii() else text.encode("utf-8").decode("latin-1")).encode("utf-16-be")
+            return _bytes_of([ids[r] for r in merge(pairs[:-2] + b"\1" + pairs[-1:])])
 
         pieces = _Memo(piece, MEMO_PIECES)
         find = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9]+").findall
 
+        marks = {m: rest(m) for m in PatternEncoder.MARKS}
+
         def chunk(text: str) -> bytes:
-            if text.isascii():
-                low = text.lower()
-                # printable ASCII bytes are their own symbols
-                return piece(low) if low.isalpha() else b"".join([pieces[p] if p.isprintable() else rest(p) for p in find(low)])
-            # letters up to U+00FF are composed and lower one to one
-            stem = text[:-1] if text[-1:] in PatternEncoder.MARKS else text
-            if stem.isalpha() and max(stem) <= "ÿ":
-                return piece(stem.lower()) if stem is text else self._chunks[stem] + pieces[text[-1]]
+            plain = text.isascii()
+            if text.isalpha() and (plain or max(text) <= "ÿ"):  # letters up to U+00FF are composed and lower one to one
+                return piece(text.lower())
+            if text[-1:] in marks and text[:-1].isalpha() and (plain or max(text) <= "ÿ"):
+                return self._chunks[text[:-1]] + marks[text[-1]]
+            if plain:  # printable ASCII bytes are their own symbols
+                return b"".join([pieces[p] if p.isprintable() else rest(p) for p in find(text.lower())])
             return rest(text)
 
         self._chunks = _Memo(chunk, MEMO_CHUNKS)
 
+    def _merges(self) -> tuple:
+        """The file's merges as a rank table over pairs (0, byte), or (1, byte) at a word's end, and the id of each rank."""
+        model, back = json.loads(self._whole.to_str())["model"], {c: b for b, c in _byte_chars().items()}
+        suffix, vocabulary = model["end_of_word_suffix"], model["vocab"]
+
+        def pairs(token: str) -> bytes:
+            raw = bytes(back[c] for c in token.removesuffix(suffix))
+            out = bytearray(b for c in raw for b in (0, c))
+            out[-2] = int(token.endswith(suffix))
+            return bytes(out)
+
+        tokens = [c + end for end in ("", suffix) for c in _byte_chars().values()]
+        tokens += [a + b for a, b in (m.split(" ") if isinstance(m, str) else m for m in model["merges"])]
+        tokens = list(dict.fromkeys(tokens))
+        ranks = {pairs(t): k for k, t in enumerate(tokens)}
+        table = tiktoken.Encoding("pairs", pat_str=r"\w+", mergeable_ranks=ranks, special_tokens={})
+        return table._core_bpe.encode_single_piece, [vocabulary[t] for t in tokens]
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self._chunks.__getitem__, text.split(" "))) if self._plain(text) else self._library(text)
 
