@@ -23,6 +23,8 @@ class Relationship:
     target_label: str | None = None
     #: Whether every end is known to be in its label's table, so that a label needs no join to be checked.
     sound: bool = False
+    #: The end, "source" or "target", of which a node has one edge of the type at most. Only the order of joins depends on it.
+    unique: str | None = None
 
 
 def properties(df: DataFrame) -> list[str]:

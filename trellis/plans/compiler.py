@@ -19,6 +19,7 @@ from trellis.errors import CypherSemanticError
 from trellis.functions.typed import Typed
 from trellis.operators import paths
 from trellis.plans import ast as A
+from trellis.plans import cycles
 from trellis.plans.expressions import Expressions, has_aggregate
 from trellis.plans.scope import ID, SOURCE, TARGET, Frame, Symbol, prop_column, quoted
 
@@ -38,6 +39,7 @@ class Compiler:
         self.used: set[str] | None = None
         self.before: dict[str, Symbol] = {}
         self.filtered: set[str] = set()
+        self.conditions: list[A.Node] = []
 
     def fresh(self, stem: str = "c") -> str:
         self.fresh_columns += 1
@@ -184,7 +186,7 @@ class Compiler:
     def _match(self, clause: A.Match, frame: Frame | None) -> Frame:
         if clause.optional:
             return self._optional(clause, frame or self.seed())
-        self.filtered = self._filtered(clause.where)
+        self.filtered, self.conditions = self._filtered(clause.where), conjuncts(clause.where)
         frame = self.patterns(clause.paths, frame)
         return self.where(frame, clause.where)
 
@@ -201,7 +203,9 @@ class Compiler:
         return out
 
     def patterns(self, todo: tuple[A.PathPattern, ...], frame: Frame | None) -> Frame:
-        """Paths in an order in which each shares a variable with those before, where there is one."""
+        """Paths in an order in which each shares a variable with those before, where there is one; cycles hop by hop."""
+        if (cycle := cycles.plan(todo, frame, self.graph, self.filtered)) is not None:
+            return self._cycle(cycle, frame)
         left = list(todo)
         while left:
             bound = set(frame.symbols) if frame is not None else set()
@@ -245,6 +249,49 @@ class Compiler:
             frame = Frame(frame.df.withColumn(column, length), frame.symbols | {path.name: Symbol("path", column, props=parts)})
         return frame
 
+    def _cycle(self, cycle: cycles.Cycle, frame: Frame | None) -> Frame:
+        outer = set(frame.symbols) if frame is not None else set()
+        if cycle.start is not None:
+            scanned = self.scan(cycle.start.name, cycle.start)
+            frame = scanned if frame is None else Frame(frame.df.crossJoin(scanned.df), frame.symbols | scanned.symbols)
+            frame = self._node_filters(frame, cycle.start)
+        for name in (n for n in cycle.nodes if n in outer):
+            frame = self._check_bound(frame, cycle.nodes[name])
+        for first, *rest in cycle.steps:
+            frame = self._wedge(cycle, frame, first, rest, outer) if rest else self._step(cycle, frame, first)
+        return frame
+
+    def _step(self, cycle: cycles.Cycle, frame: Frame, hop: cycles.Hop, hidden: dict[str, str] | None = None) -> Frame:
+        """``hidden``: names of nodes for which only an id is wanted."""
+        near, far = (A.NodePattern(hidden[n]) if n in (hidden or {}) else cycle.nodes[n] for n in (hop.near, hop.far))
+        return self._hop(frame, hop.path, hop.k, near, far, hop.backwards, [])
+
+    def _wedge(self, cycle: cycles.Cycle, frame: Frame, first: cycles.Hop, rest: list[cycles.Hop], outer: set[str]) -> Frame:
+        """Edges to a new node with the edges that lead from there to bound nodes, joined with the frame by the ids of all of these at once."""
+        keys = [(first.near, self.fresh("k"))]
+        found = self._step(cycle, self.seed(), first, dict(keys))
+        if first.near not in outer and (few := self._few(cycle.nodes[first.near])) is not None:
+            ids = few.df.select(quoted(first.near).alias(self.fresh("k")))
+            found = found.with_df(found.df.join(ids, quoted(keys[0][1]) == quoted(ids.columns[0]), "left_semi"))
+        for hop in rest:
+            hidden = {hop.far: self.fresh("k")} if hop.far in frame.symbols else {}
+            found = self._step(cycle, found, hop, hidden)
+            keys += hidden.items()
+        on = [quoted(frame.symbol(n).column) == quoted(k) for n, k in keys]
+        hidden = {k for _, k in keys}
+        new = {n: s for n, s in found.symbols.items() if n not in hidden}
+        return Frame(frame.df.join(found.df, on).drop(*hidden), frame.symbols | new)
+
+    def _few(self, node: A.NodePattern) -> Frame | None:
+        """The node's rows that its own filters leave; None where it has none."""
+        own = [c for c in self.conditions if {n.name for n in A.walk(c) if isinstance(n, A.Variable)} == {node.name} and cycles.plain(c)]
+        if not own and node.properties is None:
+            return None
+        frame = self._node_filters(self.scan(node.name, node), node)
+        for c in own:
+            frame = self.where(frame, c)
+        return frame
+
     def _skips(self, path: A.PathPattern, start: int) -> bool:
         """Whether the start's table need not be read: nothing reads it, and the sound edges of the first hop tell its label."""
         node = path.nodes[start]

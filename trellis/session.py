@@ -65,10 +65,11 @@ class GraphSession:
     def add_relationship(
         self, kind: str, data: Any, source_col: str | None = None, target_col: str | None = None, source_label: str | None = None,
         target_label: str | None = None, id_col: str | None = None, multi_edges: bool = True, sound: bool = False,
+        unique: str | None = None,
     ) -> GraphSession:
-        """``sound`` tells that every end is a row of its label's table: a foreign key that holds."""
+        """``sound`` tells that every end is a row of its label's table: a foreign key that holds; ``unique`` the end ("source" or "target") of which a node has one edge at most."""
         df = as_relationship(from_any(self.spark, data), source_col, target_col, id_col, multi_edges)
-        self.graph = self.graph.with_rel(kind, Relationship(df, source_label, target_label, sound and source_label is not None and target_label is not None))
+        self.graph = self.graph.with_rel(kind, Relationship(df, source_label, target_label, sound and source_label is not None and target_label is not None, unique))
         return self
 
     def entity(self, label: str) -> DataFrame:

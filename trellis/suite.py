@@ -37,18 +37,18 @@ def _load(spark: SparkSession, sf_dir: str) -> GraphSession:
     for label, (table, key) in keys.items():
         df = read(table)
         s.add_entity(label, df.withColumnRenamed(key, "__ID__").withColumn(key, F.col("__ID__")))
-    edge = lambda kind, df, a, b, ends, *props: s.add_relationship(
-        kind, df.select(F.col(a).alias("__SOURCE__"), F.col(b).alias("__TARGET__"), *props), source_label=ends[0], target_label=ends[1], sound=True
+    edge = lambda kind, df, a, b, ends, *props, unique=None: s.add_relationship(
+        kind, df.select(F.col(a).alias("__SOURCE__"), F.col(b).alias("__TARGET__"), *props), source_label=ends[0], target_label=ends[1], sound=True, unique=unique
     )
-    edge("IN_REGION", read("nation"), "n_nationkey", "n_regionkey", ("Nation", "Region"))
-    edge("LIVES_IN", read("customer"), "c_custkey", "c_nationkey", ("Customer", "Nation"))
-    edge("BASED_IN", read("supplier"), "s_suppkey", "s_nationkey", ("Supplier", "Nation"))
-    edge("PLACED", read("orders"), "o_custkey", "o_orderkey", ("Customer", "Order"), "o_orderpriority")
+    edge("IN_REGION", read("nation"), "n_nationkey", "n_regionkey", ("Nation", "Region"), unique="source")
+    edge("LIVES_IN", read("customer"), "c_custkey", "c_nationkey", ("Customer", "Nation"), unique="source")
+    edge("BASED_IN", read("supplier"), "s_suppkey", "s_nationkey", ("Supplier", "Nation"), unique="source")
+    edge("PLACED", read("orders"), "o_custkey", "o_orderkey", ("Customer", "Order"), "o_orderpriority", unique="target")
     line = read("lineitem")
     edge("CONTAINS", line, "l_orderkey", "l_partkey", ("Order", "Part"), "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
     edge("SUPPLIES", line, "l_suppkey", "l_partkey", ("Supplier", "Part"), "l_quantity")
     chain = read("nation").select(F.col("n_nationkey").alias("a"), ((F.col("n_nationkey") * 7 + 3) % 25).cast("int").alias("b"))
-    edge("NEXT", chain, "a", "b", ("Nation", "Nation"))
+    edge("NEXT", chain, "a", "b", ("Nation", "Nation"), unique="source")
     return s
 
 
